@@ -71,9 +71,8 @@ class KeyedTable:
         return sorted(found)
 
     def _read(self, paths: Sequence[str], base_path: str, with_batch: bool = False) -> DataFrame:
-        schema = T.StructType(self.schema.fields)
-        if with_batch:
-            schema = schema.add("batch_id", "bigint")
+        position = [T.StructField("batch_id", T.LongType())] if with_batch else []
+        schema = T.StructType(self.schema.fields + position)
         if not paths:
             return self.spark.createDataFrame([], schema)
         columns = self._columns + (["batch_id"] if with_batch else [])
