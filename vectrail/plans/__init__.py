@@ -3,7 +3,7 @@
 Importing this package fills ``registry.QUERIES`` and ``registry.SQL``.
 """
 
-from . import corpora, messages, search, tables, text, vectors  # noqa: F401
+from . import corpora, files, messages, runs, search, streams, tables, text, vectors  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -13,9 +13,8 @@ from ..schemas import EMBEDDING_FILE
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """Every ``.txt`` file (any case) is one stripped document."""
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "*.[tT][xX][tT]")
-        .text(path)
+        spark.read.option("pathGlobFilter", "*.[tT][xX][tT]")
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), strip(F.col("value")).alias("text"))
     )
 
