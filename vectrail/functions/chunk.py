@@ -1,7 +1,8 @@
 """Splitting one text into chunks under a token budget.
 
-Every chunker maps text to ``array<string>``. The greedy ones fold over the pieces
-carrying only where chunks start, then cut the piece array once per chunk.
+Every chunker maps text to ``array<string>``. Small budgets of words are one regular
+expression; otherwise a fold over the pieces carries only where chunks start, and the piece
+array is cut once per chunk.
 """
 
 from __future__ import annotations
@@ -9,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import bind, estimate_tokens, strip, words
+from .text import bind, collapse_spaces, strip, words
+
+
+# Pieces folded before their chunk starts join the others: appending copies the array, so
+# one level alone would be quadratic in the number of chunks of a text.
+BLOCK = 1000
 
 
 def _starts(pieces: Column, cost, budget: int) -> Column:
@@ -19,9 +25,6 @@ def _starts(pieces: Column, cost, budget: int) -> Column:
     a piece dearer than the whole budget becomes a chunk of its own.
     """
     nothing = F.array().cast("array<int>")
-    start = F.struct(
-        F.lit(1).alias("at"), F.lit(budget + 1).cast("bigint").alias("used"), nothing.alias("starts")
-    )
 
     def step(state, piece):
         used = state["used"] + cost(piece)
@@ -34,7 +37,19 @@ def _starts(pieces: Column, cost, budget: int) -> Column:
         )
         return F.when(used <= budget, fits).otherwise(opens)
 
-    return F.aggregate(pieces, start, step, lambda state: state["starts"])
+    def block(state, begin):
+        opened = F.struct(begin.alias("at"), state["used"].alias("used"), nothing.alias("starts"))
+        return bind(
+            F.aggregate(F.slice(pieces, begin, F.lit(BLOCK)), opened, step),
+            lambda inner: F.struct(
+                inner["used"].alias("used"),
+                F.concat(state["starts"], inner["starts"]).alias("starts"),
+            ),
+        )
+
+    begins = F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1)), F.lit(BLOCK))
+    start = F.struct(F.lit(budget + 1).cast("bigint").alias("used"), nothing.alias("starts"))
+    return F.aggregate(begins, start, block, lambda state: state["starts"])
 
 
 def pack(pieces: Column, cost, budget: int) -> Column:
@@ -56,8 +71,35 @@ def pack(pieces: Column, cost, budget: int) -> Column:
     return bind(pieces, cut)
 
 
+# The pattern below nests one match per token. A default 1 MB thread stack was seen to hold
+# 1024 of them in a cold JVM; this keeps a wide margin.
+PATTERN_BUDGET = 256
+
+
+def _word_pattern(budget: int) -> str:
+    """The longest run of whole words worth at most ``budget`` tokens, each word followed by
+    one space.
+
+    A word costs one token per four characters of itself and its space. So reading from a
+    word's start, a token is three non-spaces and any character, and up to two non-spaces
+    and a space close the word for free. A word above the budget stands alone.
+    """
+    oversize = rf"[^ ]{{{4 * budget + 3},}} "
+    free = r"(?:[^ ]{0,2} )*+"
+    return rf"(?s){oversize}|(?=[^ ])(?:{free}[^ ]{{3}}.){{0,{budget}}}{free}(?<= )"
+
+
 def word_chunks(text: Column, budget: int) -> Column:
     """G1: pack words; a word costs a quarter of its length with its trailing space."""
+    if 0 < budget <= PATTERN_BUDGET:
+        spaced = F.concat(collapse_spaces(F.coalesce(text, F.lit(""))), F.lit(" "))
+        found = F.regexp_extract_all(spaced, F.lit(_word_pattern(budget)), F.lit(0))
+        return F.transform(found, lambda chunk: F.rtrim(chunk))
+    return pack_words(text, budget)
+
+
+def pack_words(text: Column, budget: int) -> Column:
+    """G1 for any budget, word by word."""
     return pack(words(text), lambda word: F.shiftright(F.length(word) + 1, 2), budget)
 
 
@@ -94,13 +136,3 @@ def chunk_id(doc_id: Column, chunk_index: Column) -> Column:
     """Content-derived id, so a retried job yields the same messages."""
     return F.md5(F.concat_ws(":", doc_id.cast("string"), chunk_index.cast("string")))
 
-
-__all__ = [
-    "chunk_id",
-    "estimate_tokens",
-    "explode_chunks",
-    "fixed_chunks",
-    "pack",
-    "paragraph_chunks",
-    "word_chunks",
-]

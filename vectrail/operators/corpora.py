@@ -39,8 +39,14 @@ def filter_categories(
 
 
 def _documents(df: DataFrame, title, body, keep: Sequence[str]) -> DataFrame:
-    return df.select(*keep, compose_document(title, body).alias("document")).filter(
-        "document is not null"
+    """Title and body, cleaned once in a projection of their own, then composed.
+
+    Documents without any text stay null: they explode into no chunks, and filtering them
+    here would make Catalyst clean every text a second time below the filter.
+    """
+    cleaned = df.select(*keep, title.alias("_title"), body.alias("_body"))
+    return cleaned.select(
+        *keep, compose_document(F.col("_title"), F.col("_body")).alias("document")
     )
 
 

@@ -166,8 +166,9 @@ def top_k_many(
     stored before the next block starts.
     """
     spark = queries.sparkSession
-    dim_row = queries.select(F.max(F.size(query_vector)), F.count("*")).first()
-    dim, total = dim_row[0] or 0, dim_row[1]
+    total = queries.count()
+    sample = queries.select(F.size(query_vector)).filter(F.col(query_vector).isNotNull()).first()
+    dim = sample[0] if sample else 0
     rows_per_block = max(1, block_bytes // (8 * max(1, dim)))
     blocks = -(-total // rows_per_block) if total else 1
     if blocks > 1:  # leave room for uneven hashing

@@ -177,7 +177,7 @@ SELECT count(*) AS chunks, CAST(sum(length(chunk) // 4) AS BIGINT) AS total_toke
        count(*) FILTER (length(string_split(chunk, chr(10))[1]) < 100
                         AND NOT ends_with(string_split(chunk, chr(10))[1], '.')) AS title_chunks,
        CAST(sum(length(chunk)) // count(*) AS BIGINT) AS avg_length
-FROM chunks""")
+FROM chunks""", name="chunk_stats")
 def chunk_statistics(spark, sf):
     chunks = ops.paper_chunks(spread(papers(spark, sf), "doc_id"), BUDGET, "doc_id")
     return stats(chunks, chunk_features(F.col("chunk"))).withColumn(

@@ -79,7 +79,7 @@ def event_log(spark, sf):
         .when(kind == "signup", blank)
         .otherwise(F.lit('{"id": "e", "text": "cut o'))
     )
-    events = table(spark, sf, "events")
+    events = spread(table(spark, sf, "events"), "event_id")
     return log.to_log(
         events,
         key=F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("k"), F.col("event_id"))),
@@ -157,7 +157,7 @@ def fallback_log(spark, sf):
         .otherwise(message(F.lit("soon"), number))
     )
     return log.to_log(
-        table(spark, sf, "events"),
+        spread(table(spark, sf, "events"), "event_id"),
         key=F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("k"), F.col("event_id"))).otherwise(""),
         value=value, topic="embeddings", offset=F.col("event_id"),
         timestamp=F.lit(None).cast("timestamp"), partition=F.col("user_id") % 4,
@@ -203,7 +203,7 @@ def normalize_timestamp(spark, sf):
         .when(kind == "purchase", json(day))
         .otherwise(json(F.concat(F.lit("later "), iso)))
     )
-    events = table(spark, sf, "events").select("event_id", m.parsed(value).alias("v"))
+    events = spread(table(spark, sf, "events"), "event_id").select("event_id", m.parsed(value).alias("v"))
     return events.select(
         "event_id", F.unix_seconds(m.normalize_timestamp(F.col("v"), "$.t", now())).alias("at")
     )

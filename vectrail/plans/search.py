@@ -70,7 +70,7 @@ SELECT query_id, doc_id, rank, distance FROM (
 WHERE rank <= 10""")
 def topk_cosine_batch(spark, sf):
     def embedded(name, *keys):
-        rows = table(spark, sf, name)
+        rows = spread(table(spark, sf, name).select(*keys, "text"), *keys)
         return rows.select(*keys, embed_hash(F.col("text"), DIM).alias("embedding"))
 
     return ops.top_k_many(

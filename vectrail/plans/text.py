@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..session import spread
 from .inputs import (
     PAPER_LEAD,
     WIKI_LEAD,
@@ -47,14 +48,14 @@ def kb_to_tokens(spark, sf):
 SELECT doc_id, md5({sql_clean_latex(f"{quoted(PAPER_LEAD)} || text")}) AS cleaned
 FROM documents""")
 def clean_latex(spark, sf):
-    return papers(spark, sf).select("doc_id", F.md5(t.clean_latex(F.col("abstract"))).alias("cleaned"))
+    return spread(papers(spark, sf), "doc_id").select("doc_id", F.md5(t.clean_latex(F.col("abstract"))).alias("cleaned"))
 
 
 @plan(f"""
 SELECT doc_id, md5({sql_clean_wiki(f"{quoted(WIKI_LEAD)} || text")}) AS cleaned
 FROM documents""")
 def clean_wiki(spark, sf):
-    return articles(spark, sf).select("doc_id", F.md5(t.clean_wiki(F.col("text"))).alias("cleaned"))
+    return spread(articles(spark, sf), "doc_id").select("doc_id", F.md5(t.clean_wiki(F.col("text"))).alias("cleaned"))
 
 
 @plan("""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as v
 from ..functions.embed import embed_by_model as by_model
 from ..functions.embed import embed_hash as hashed
-from ..functions.embed import hash_encoder
+from ..functions.embed import hash_encoder, model_udf
 from ..session import spread
 from .inputs import sql_embed, table
 from .registry import plan
@@ -98,6 +98,14 @@ def embed_hash(spark, sf):
     return per_component(docs.select("doc_id", hashed(F.col("text"), DIM).alias("embedding")), "doc_id")
 
 
+@plan(f"WITH {sql_embed('documents', 'embedded', 'text', DIM)} {sql_per_component('embedded', 'doc_id')}")
+def embed_model(spark, sf):
+    """The plug-in path: an encoder loaded in the workers, fed Arrow batches of text."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    encode = model_udf(lambda: hash_encoder(DIM))
+    return per_component(docs.select("doc_id", encode("text").alias("embedding")), "doc_id")
+
+
 MODELS = {"small": 16, "large": 32}
 
 
