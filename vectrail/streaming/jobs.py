@@ -189,16 +189,21 @@ def text_writer_batch(table: KeyedTable, now: Column, dead: DeadLetters | None,
 
 
 def embed_messages(messages: DataFrame, embed: Embed, now: Column) -> DataFrame:
-    """Pending messages (id, content, created_at) as rows of the embeddings table."""
+    """Pending messages (id, content, created_at) as rows of the embeddings table, ranked
+    by the age of the message."""
     embedded = embed(messages.withColumnRenamed("content", "text")).filter("embed_error is null")
     return embedded.select(
         F.col("id").alias("text_message_id"),
         F.col("text").alias("text_content"),
         "embedding",
         now.alias("created_at"),
+        F.col("created_at").alias("message_created_at"),
     )
 
 
+OLDEST_FIRST = ["message_created_at", "text_content"]
+
+
 def incremental_embed_batch(table: KeyedTable, embed: Embed, now: Column):
     """T5: of the messages that arrived, embed those without an embedding.
 
@@ -208,7 +213,7 @@ def incremental_embed_batch(table: KeyedTable, embed: Embed, now: Column):
 
     def body(batch: DataFrame, batch_id: int) -> None:
         pending = unprocessed(batch, table.read(before=batch_id))
-        table.append(embed_messages(pending, embed, now), batch_id, order=["created_at"])
+        table.append(embed_messages(pending, embed, now), batch_id, order=OLDEST_FIRST)
 
     return body
 
@@ -221,7 +226,7 @@ def process_pending(
     pending = unprocessed(messages, table.read(), batch_size).persist()
     count = pending.count()
     if count:
-        table.append(embed_messages(pending, embed, now), table.next_batch(), order=["created_at"])
+        table.append(embed_messages(pending, embed, now), table.next_batch(), order=OLDEST_FIRST)
     pending.unpersist()
     return count
 
