@@ -82,7 +82,7 @@ def test_embed_then_write(spark, folder):
 
     table = routed_table(spark, f"{folder}/tables", EMBEDDINGS)
     writer = jobs.writer_batch(table, now(), 2, None)
-    source = log.stream(spark, f"{folder}/out/batch_id=*", topic="embeddings")
+    source = log.stream(spark, f"{folder}/out/batch=*", topic="embeddings")
     jobs.drain(jobs.run(source, "write", f"{folder}/checkpoint-write", writer, once=True))
     assert pairs(table.read(), "table_name", "id", "text", "embedding", "source") == [
         ("embeddings", "a", "one", [3.0, 1.0], "m"),
@@ -133,9 +133,9 @@ def test_failed_batch_is_replayed_under_its_id(spark, folder):
     table = KeyedTable(spark, f"{folder}/table", TEXT_MESSAGES, key=["id"], rule="first")
     real, seen = jobs.text_writer_batch(table, now(), None), []
 
-    def flaky(batch, batch_id):
-        real(batch, batch_id)
-        seen.append(batch_id)
+    def flaky(batch, name):
+        real(batch, name)
+        seen.append(name)
         if len(seen) == 1:
             raise RuntimeError("lost after the write")
 
@@ -143,7 +143,24 @@ def test_failed_batch_is_replayed_under_its_id(spark, folder):
     with pytest.raises(Exception, match="lost after the write"):
         once(spark, folder, flaky, "flaky")
     once(spark, folder, flaky, "flaky")
-    assert seen == [0, 0]
+    assert len(seen) == 2 and seen[0] == seen[1]
+    assert pairs(table.read(), "id", "content") == [("a", "one"), ("b", "two")]
+
+
+def test_stream_started_afresh_adds_to_the_table(spark, folder):
+    """A new checkpoint counts from zero again; nothing already stored may get lost."""
+    dead = jobs.DeadLetters(f"{folder}/dead")
+    table = KeyedTable(spark, f"{folder}/table", TEXT_MESSAGES, key=["id"], rule="first")
+    body = jobs.text_writer_batch(table, now(), dead)
+    produce(spark, f"{folder}/log", text("a", "one"), ("x", "{bad"))
+    once(spark, folder, body, "first")
+    table.compact()
+    produce(spark, f"{folder}/log", text("b", "two"))
+    once(spark, folder, body, "second")
+    assert pairs(table.read(), "id", "content") == [("a", "one"), ("b", "two")]
+    assert spark.read.parquet(dead.path).count() == 2
+    table.truncate()
+    once(spark, folder, body, "third")
     assert pairs(table.read(), "id", "content") == [("a", "one"), ("b", "two")]
 
 

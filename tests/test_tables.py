@@ -51,7 +51,7 @@ def test_uncommitted_folders_are_not_read(spark, folder):
     table = KeyedTable(spark, folder, SIMPLE, key=["id"])
     table.append(rows(spark, ("a", "1", 1)), 0, ["seq"])
     table.append(rows(spark, ("a", "2", 1)), 1, ["seq"])
-    fs.remove(spark, f"{folder}/log/batch_id=1/_SUCCESS")
+    fs.remove(spark, f"{folder}/log/000000001@1/_SUCCESS")
     assert content(table) == [("a", "1")]
 
 

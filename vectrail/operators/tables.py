@@ -1,11 +1,12 @@
 """Keyed tables on plain parquet: an append log per micro-batch plus compacted snapshots.
 
-    <path>/log/batch_id=<n>/          one folder per batch, each key at most once
-    <path>/base/v<version>-b<n>/      snapshot covering batches up to n
+    <path>/log/<n>@<batch>/           one folder per batch, each key at most once
+    <path>/base/v<version>-b<n>/      snapshot covering the batches numbered up to n
 
-A folder counts once its job committed (``_SUCCESS``), so readers never see half a batch
-and a retried batch simply replaces its own folder. Nothing is ever read and overwritten
-in one job.
+Batches are numbered in order of arrival; their names tell a replay from news. A folder
+counts once its job committed (``_SUCCESS``), so readers never see half a batch and a
+replayed batch simply replaces its own folder. Nothing is ever read and overwritten in one
+job. A table has one writer at a time.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from .keyed import first_per_key, last_per_key, without_existing
 # A log of at most this many stored bytes has few enough keys to broadcast.
 BROADCAST_LOG_BYTES = 16 * 1024 * 1024
 NO_BATCH = -1
+# Column that carries the batch number inside the log.
+BATCH = "_batch"
 
 
 @dataclass(frozen=True)
@@ -59,41 +62,49 @@ class KeyedTable:
                 found.append((int(version), int(batch), f"{self.path}/base/{name}"))
         return sorted(found)
 
-    def _batches(self, after: int, before: int | None = None) -> list[tuple[int, str]]:
+    def _folders(self) -> list[tuple[int, str, str]]:
+        """Number, batch name and path of every log folder, committed or not."""
         found = []
-        for name in fs.children(self.spark, f"{self.path}/log"):
-            if not name.startswith("batch_id="):
-                continue
-            batch = int(name.split("=")[1])
-            path = f"{self.path}/log/{name}"
-            if batch > after and (before is None or batch < before) and fs.is_committed(self.spark, path):
-                found.append((batch, path))
+        for folder in fs.children(self.spark, f"{self.path}/log"):
+            number, at, name = folder.partition("@")
+            if at:
+                found.append((int(number), name, f"{self.path}/log/{folder}"))
         return sorted(found)
 
-    def _read(self, paths: Sequence[str], base_path: str, with_batch: bool = False) -> DataFrame:
-        position = [T.StructField("batch_id", T.LongType())] if with_batch else []
+    def _batches(self, after: int, before: int | None = None) -> list[tuple[int, str]]:
+        return [
+            (number, path)
+            for number, _, path in self._folders()
+            if number > after
+            and (before is None or number < before)
+            and fs.is_committed(self.spark, path)
+        ]
+
+    def _read(self, paths: Sequence[str], with_batch: bool = False) -> DataFrame:
+        position = [T.StructField(BATCH, T.LongType())] if with_batch else []
         schema = T.StructType(self.schema.fields + position)
         if not paths:
             return self.spark.createDataFrame([], schema)
-        columns = self._columns + (["batch_id"] if with_batch else [])
-        return (
-            self.spark.read.schema(schema).option("basePath", base_path).parquet(*paths).select(*columns)
-        )
+        return self.spark.read.schema(schema).parquet(*paths).select(*schema.fieldNames())
 
     # --- reading --------------------------------------------------------------------
-    def read(self, before: int | None = None) -> DataFrame:
-        """The table's rows, one per key; ``before`` leaves out that batch and later ones."""
+    def read(self, before: str | int | None = None) -> DataFrame:
+        """The table's rows, one per key; ``before`` names a batch and leaves out its rows
+        and later ones, as a replay of that batch needs."""
+        return self._rows(None if before is None else self._number(str(before)))
+
+    def _rows(self, before: int | None) -> DataFrame:
         snapshots = self._snapshots()
         upto, base = NO_BATCH, None
         if snapshots:
             _, upto, base_path = snapshots[-1]
-            base = self._read([base_path], base_path)
+            base = self._read([base_path])
         batches = self._batches(upto, before)
         if not batches:
-            return base if base is not None else self._read([], "")
-        log = self._read([p for _, p in batches], f"{self.path}/log", with_batch=True)
+            return base if base is not None else self._read([])
+        log = self._read([p for _, p in batches], with_batch=True)
         if self.rule == "first":
-            log = log.drop("batch_id")
+            log = log.drop(BATCH)
             return log if base is None else base.unionByName(log)
         newest = self._newest(log)
         if base is None:
@@ -109,8 +120,8 @@ class KeyedTable:
     def _newest(self, log: DataFrame) -> DataFrame:
         rest = [c for c in self._columns if c not in self.key and c not in self.keep_first]
         newest = log.groupBy(*self.key).agg(
-            F.max_by(F.struct(*rest), "batch_id").alias("_row"),
-            *[F.min_by(c, "batch_id").alias(c) for c in self.keep_first],
+            F.max_by(F.struct(*rest), BATCH).alias("_row"),
+            *[F.min_by(c, BATCH).alias(c) for c in self.keep_first],
         )
         return newest.select(*[F.col(f"_row.{c}") if c in rest else F.col(c) for c in self._columns])
 
@@ -124,25 +135,37 @@ class KeyedTable:
         )
 
     # --- writing --------------------------------------------------------------------
-    def append(self, rows: DataFrame, batch_id: int, order: Sequence[str]) -> None:
+    def _number(self, name: str) -> int:
+        """A known batch keeps its number, a new one comes after all others."""
+        folders = self._folders()
+        for number, known, _ in folders:
+            if known == name:
+                return number
+        return max([self._covered(), *[number for number, _, _ in folders]]) + 1
+
+    def append(self, rows: DataFrame, batch: str | int, order: Sequence[str]) -> None:
         """Write one batch; ``order`` columns rank rows of a key inside the batch.
 
-        Appending the same batch again leaves the table as it was.
+        Appending a batch of the same name again leaves the table as it was.
         """
-        if any(batch >= batch_id for _, batch, _ in self._snapshots()):
+        number = self._number(str(batch))
+        if number <= self._covered():
             return  # already part of a snapshot
+        path = f"{self.path}/log/{number:09d}@{batch}"
         if self.rule == "first":
             picked = first_per_key(rows, self.key, order).persist()
-            known = self.read(before=batch_id)
-            self._write(without_existing(picked, known, self.key), f"{self.path}/log/batch_id={batch_id}")
+            self._write(without_existing(picked, self._rows(number), self.key), path, number)
             picked.unpersist()
         else:
-            self._write(last_per_key(rows, self.key, order), f"{self.path}/log/batch_id={batch_id}")
+            self._write(last_per_key(rows, self.key, order), path, number)
         if len(self._batches(self._covered())) >= self.compact_after and self._log_is_heavy():
             self.compact()
 
-    def _write(self, rows: DataFrame, path: str) -> None:
-        writer = rows.select(*self._columns).write.mode("overwrite")
+    def _write(self, rows: DataFrame, path: str, number: int | None = None) -> None:
+        rows = rows.select(*self._columns)
+        if number is not None:
+            rows = rows.withColumn(BATCH, F.lit(number).cast("bigint"))
+        writer = rows.write.mode("overwrite")
         if self.partition_by:
             writer = writer.partitionBy(*self.partition_by)
         writer.parquet(path)
@@ -161,9 +184,8 @@ class KeyedTable:
         return log * 4 >= fs.size_bytes(self.spark, base)
 
     def next_batch(self) -> int:
-        """The id after every batch seen so far, for writers outside a stream."""
-        batches = self._batches(NO_BATCH)
-        return max(batches[-1][0] if batches else NO_BATCH, self._covered()) + 1
+        """A fresh batch name, for writers outside a stream."""
+        return max([self._covered(), *[number for number, _, _ in self._folders()]]) + 1
 
     def replace(self, rows: DataFrame) -> None:
         """Make ``rows`` the table's content, as a new snapshot sorted by key.
@@ -185,18 +207,23 @@ class KeyedTable:
 
     def truncate(self) -> None:
         """K8: empty the table."""
-        self.replace(self._read([], ""))
+        self.replace(self._read([]))
 
     def vacuum(self) -> None:
         """Delete folders that the newest snapshot made redundant; run it when no reader
-        still works on an older one."""
+        still works on an older one.
+
+        The last batch of each stream stays, as the stream may replay it.
+        """
         snapshots = self._snapshots()
         if not snapshots:
             return
         for _, _, path in snapshots[:-1]:
             fs.remove(self.spark, path)
-        for batch, path in self._batches(NO_BATCH):
-            if batch <= snapshots[-1][1]:
+        folders = self._folders()
+        last = {name.rpartition(".")[0]: number for number, name, _ in folders if "." in name}
+        for number, name, path in folders:
+            if number <= snapshots[-1][1] and last.get(name.rpartition(".")[0]) != number:
                 fs.remove(self.spark, path)
 
 

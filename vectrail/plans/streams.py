@@ -92,7 +92,7 @@ def stream_upsert(spark, sf):
     """The embedding job's log into the writer's tables."""
     root = new_scratch(spark, "writer")
     store = routed_table(spark, f"{root}/tables", EMBEDDINGS)
-    source = log.stream(spark, embedded_files(spark, sf) + "/batch_id=*", topic="embeddings")
+    source = log.stream(spark, embedded_files(spark, sf) + "/batch=*", topic="embeddings")
     run_once(source, "writer", root, jobs.writer_batch(store, now(), DIM, jobs.DeadLetters(f"{root}/dead")))
     return store.read().select(
         "table_name",

@@ -51,8 +51,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy work at least one partition per core.
 
     A scan that already has enough splits (any large input) is left alone, so the
-    extra shuffle is paid only for inputs of a few files.
+    extra shuffle is paid only for inputs of a few files. So is anything that was shuffled
+    already, which asking for its partitions would run.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= wanted:
         return df

@@ -1,8 +1,10 @@
 """The ingestion jobs.
 
-Delivery: a checkpointed source replays a failed micro-batch under the same id, and every
-sink writes that id's folder anew, so each message counts once. Failed tasks are retried
-by Spark; repeating a write is harmless for the same reason.
+Delivery: a checkpointed source replays a failed micro-batch under the same name, and every
+sink writes that batch's folder anew, so each message counts once. A batch is named after
+its stream's id, which the checkpoint keeps, and its number: a stream started afresh never
+overwrites what an earlier one wrote. Failed tasks are retried by Spark; repeating a write
+is harmless for the same reason.
 """
 
 from __future__ import annotations
@@ -59,24 +61,36 @@ class DeadLetters:
     def __init__(self, path: str):
         self.path = path
 
-    def write(self, rows: DataFrame, batch_id: int) -> None:
+    def write(self, rows: DataFrame, name: str) -> None:
         (
             rows.filter("reject_reason is not null")
             .select("key", "value", "reject_reason")
             .write.mode("overwrite")
-            .parquet(f"{self.path}/batch_id={batch_id}")
+            .parquet(f"{self.path}/batch={name}")
         )
 
 
+Body = Callable[[DataFrame, str], None]
+
+
 def run(
     stream: DataFrame,
     name: str,
     checkpoint: str,
-    each_batch: Callable[[DataFrame, int], None],
+    body: Body,
     every: str | None = POLL,
     once: bool = False,
 ) -> StreamingQuery:
-    """Start a job. ``once`` drains what is there and stops."""
+    """Start a job; ``body`` gets each micro-batch and its name. ``once`` drains what is
+    there and stops (T6)."""
+    stream_id = []
+
+    def each_batch(batch: DataFrame, number: int) -> None:
+        if not stream_id:
+            kept = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata")
+            stream_id.append(kept.first().id)
+        body(batch, f"{stream_id[0]}.{number:09d}")
+
     writer = (
         stream.writeStream.queryName(name)
         .option("checkpointLocation", checkpoint)
@@ -90,11 +104,19 @@ def drain(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
+def refused(checked: DataFrame, embedded: DataFrame) -> DataFrame:
+    """Messages that failed a check, and those the model failed on."""
+    failed = embedded.filter("embed_error is not null").select(
+        "key", "value", F.lit("embedding_failed").alias("reject_reason")
+    )
+    return checked.select("key", "value", "reject_reason").unionByName(failed)
+
+
 # --- batch bodies -----------------------------------------------------------------------
-def embed_batch(embed: Embed, sink: Callable[[DataFrame, int], None], now: Column, dead: DeadLetters | None):
+def embed_batch(embed: Embed, sink: Body, now: Column, dead: DeadLetters | None):
     """Refuse unreadable and blank messages, embed the rest, emit output messages."""
 
-    def body(batch: DataFrame, batch_id: int) -> None:
+    def body(batch: DataFrame, name: str) -> None:
         checked = with_reject_reason(parse_text_messages(batch), text_message_checks()).persist()
         embedded = embed(good(checked)).persist()
         output = embedded.filter("embed_error is null")
@@ -108,15 +130,10 @@ def embed_batch(embed: Embed, sink: Callable[[DataFrame, int], None], now: Colum
                 timestamp=now,
                 partition=F.col("partition"),
             ),
-            batch_id,
+            name,
         )
         if dead is not None:
-            failed = embedded.filter("embed_error is not null").select(
-                "key", "value", F.lit("embedding_failed").alias("reject_reason")
-            )
-            dead.write(
-                checked.select("key", "value", "reject_reason").unionByName(failed), batch_id
-            )
+            dead.write(refused(checked, embedded), name)
         embedded.unpersist()
         checked.unpersist()
 
@@ -126,15 +143,15 @@ def embed_batch(embed: Embed, sink: Callable[[DataFrame, int], None], now: Colum
 def writer_batch(table: KeyedTable, now: Column, dim: int | None, dead: DeadLetters | None):
     """Normalise embedding messages and upsert them into their destinations."""
 
-    def body(batch: DataFrame, batch_id: int) -> None:
+    def body(batch: DataFrame, name: str) -> None:
         raw = batch.withColumn("raw_value", F.col("value"))
         rows = normalize_embedding_messages(raw, now).withColumnsRenamed(
             {"log_key": "key", "raw_value": "value"}
         )
         checked = with_reject_reason(rows, embedding_checks(dim)).persist()
-        table.append(good(checked), batch_id, order=["partition", "offset"])
+        table.append(good(checked), name, order=["partition", "offset"])
         if dead is not None:
-            dead.write(checked, batch_id)
+            dead.write(checked, name)
         checked.unpersist()
 
     return body
@@ -143,13 +160,13 @@ def writer_batch(table: KeyedTable, now: Column, dim: int | None, dead: DeadLett
 def embed_store_batch(table: KeyedTable, embed: Embed, now: Column, dead: DeadLetters | None):
     """Parse, embed and upsert in one job; a message without a time gets the present."""
 
-    def body(batch: DataFrame, batch_id: int) -> None:
+    def body(batch: DataFrame, name: str) -> None:
         checked = with_reject_reason(parse_text_messages(batch), text_message_checks()).persist()
-        embedded = embed(good(checked)).filter("embed_error is null")
+        embedded = embed(good(checked)).persist()
         created = F.coalesce(
             F.timestamp_micros(F.round(F.col("input_timestamp") * 1e6).cast("bigint")), now
         )
-        rows = embedded.select(
+        rows = embedded.filter("embed_error is null").select(
             "id",
             "text",
             "embedding",
@@ -158,9 +175,10 @@ def embed_store_batch(table: KeyedTable, embed: Embed, now: Column, dead: DeadLe
             "partition",
             "offset",
         )
-        table.append(rows, batch_id, order=["partition", "offset"])
+        table.append(rows, name, order=["partition", "offset"])
         if dead is not None:
-            dead.write(checked, batch_id)
+            dead.write(refused(checked, embedded), name)
+        embedded.unpersist()
         checked.unpersist()
 
     return body
@@ -169,7 +187,7 @@ def embed_store_batch(table: KeyedTable, embed: Embed, now: Column, dead: DeadLe
 def text_writer_batch(table: KeyedTable, now: Column, dead: DeadLetters | None, source: str = "kafka"):
     """T4: store new messages; an id that is already there keeps its row."""
 
-    def body(batch: DataFrame, batch_id: int) -> None:
+    def body(batch: DataFrame, name: str) -> None:
         checked = with_reject_reason(parse_text_messages(batch), required_field_checks()).persist()
         rows = good(checked).select(
             "id",
@@ -180,9 +198,9 @@ def text_writer_batch(table: KeyedTable, now: Column, dead: DeadLetters | None,
             "partition",
             "offset",
         )
-        table.append(rows, batch_id, order=["partition", "offset"])
+        table.append(rows, name, order=["partition", "offset"])
         if dead is not None:
-            dead.write(checked, batch_id)
+            dead.write(checked, name)
         checked.unpersist()
 
     return body
@@ -211,9 +229,9 @@ def incremental_embed_batch(table: KeyedTable, embed: Embed, now: Column):
     are not lost.
     """
 
-    def body(batch: DataFrame, batch_id: int) -> None:
-        pending = unprocessed(batch, table.read(before=batch_id))
-        table.append(embed_messages(pending, embed, now), batch_id, order=OLDEST_FIRST)
+    def body(batch: DataFrame, name: str) -> None:
+        pending = unprocessed(batch, table.read(before=name))
+        table.append(embed_messages(pending, embed, now), name, order=OLDEST_FIRST)
 
     return body
 
@@ -231,14 +249,14 @@ def process_pending(
     return count
 
 
-def file_sink(path: str) -> Callable[[DataFrame, int], None]:
+def file_sink(path: str) -> Body:
     """K1 from a stream to a file log; a replayed batch replaces its folder."""
-    return lambda rows, batch_id: message_log.write_files(
-        rows, f"{path}/batch_id={batch_id}", mode="overwrite"
+    return lambda rows, name: message_log.write_files(
+        rows, f"{path}/batch={name}", mode="overwrite"
     )
 
 
-def kafka_sink(servers: str) -> Callable[[DataFrame, int], None]:
+def kafka_sink(servers: str) -> Body:
     """K1 from a stream to Kafka: at least once; the writer's upsert absorbs repeats."""
     return lambda rows, _: message_log.write_kafka(rows, servers)
 
