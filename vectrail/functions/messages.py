@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import is_blank
+from .text import bind, is_blank
 
 UNKNOWN = "unknown"
 DEFAULT_TABLE = "embeddings"
@@ -115,6 +115,19 @@ def normalize_timestamp(v: Column, path: str, now: Column) -> Column:
 
 
 # --- parsing whole messages ------------------------------------------------------------
+def _read_once(log: DataFrame, keep: list[Column], fields) -> DataFrame:
+    """Kept columns and the fields read from each row's JSON value.
+
+    The fields come out of a generator of one row, which filters on them cannot be pushed
+    below; as a plain projection they would be parsed again for every such filter.
+    """
+    message = bind(
+        parsed(F.col("value")),
+        lambda v: F.struct(*[column.alias(name) for name, column in fields(v).items()]),
+    )
+    return log.select(*keep, F.inline(F.array(message)))
+
+
 def parse_text_messages(log: DataFrame) -> DataFrame:
     """Log rows (key, value, ...) to typed fields.
 
@@ -122,21 +135,25 @@ def parse_text_messages(log: DataFrame) -> DataFrame:
     JSON value is taken as the text itself. ``is_json`` is false for values that do not
     parse; such rows carry nulls and are rejected downstream.
     """
-    v = F.col("_v")
-    is_object = F.schema_of_variant(v).startswith("OBJECT")
     fallback = F.coalesce(F.nullif(F.col("key"), F.lit("")), F.lit(UNKNOWN))
-    has_id = json_type(v, "$.id").isNotNull()
-    return log.withColumn("_v", parsed(F.col("value"))).select(
-        *log.columns,
-        v.isNotNull().alias("is_json"),
-        F.when(v.isNull(), None).when(is_object & has_id, text_at(v, "$.id")).otherwise(fallback).alias("id"),
-        F.when(is_object, text_at(v, "$.text")).otherwise(text_at(v, "$")).alias("text"),
-        F.when(is_object, F.try_variant_get(v, "$.timestamp", "double")).alias("input_timestamp"),
-        F.when(is_object, text_at(v, "$.source")).alias("input_source"),
-        F.when(is_object, F.coalesce(truthy_text(v, "$.model"), truthy_text(v, "$.model_name"))).alias("model"),
-        F.when(is_object, has_id).otherwise(F.lit(False)).alias("has_id"),
-        F.when(is_object, json_type(v, "$.text").isNotNull()).otherwise(F.lit(False)).alias("has_text"),
-    )
+
+    def fields(v: Column) -> dict[str, Column]:
+        is_object = F.schema_of_variant(v).startswith("OBJECT")
+        has_id = json_type(v, "$.id").isNotNull()
+        id = F.when(is_object & has_id, text_at(v, "$.id")).otherwise(fallback)
+        model = F.coalesce(truthy_text(v, "$.model"), truthy_text(v, "$.model_name"))
+        return {
+            "is_json": v.isNotNull(),
+            "id": F.when(v.isNotNull(), id),
+            "text": F.when(is_object, text_at(v, "$.text")).otherwise(text_at(v, "$")),
+            "input_timestamp": F.when(is_object, F.try_variant_get(v, "$.timestamp", "double")),
+            "input_source": F.when(is_object, text_at(v, "$.source")),
+            "model": F.when(is_object, model),
+            "has_id": F.coalesce(is_object & has_id, F.lit(False)),
+            "has_text": F.coalesce(is_object & json_type(v, "$.text").isNotNull(), F.lit(False)),
+        }
+
+    return _read_once(log, [F.col(c) for c in log.columns], fields)
 
 
 def normalize_embedding_messages(log: DataFrame, now: Column) -> DataFrame:
@@ -145,27 +162,32 @@ def normalize_embedding_messages(log: DataFrame, now: Column) -> DataFrame:
     Each field falls through its alternatives while they are empty, zero or absent. The
     key column and any log position columns are kept.
     """
-    v = F.col("_v")
-    kept = [c for c in log.columns if c != "value"]
-    chosen = F.when(truthy_text(v, "$.timestamp").isNotNull(), normalize_timestamp(v, "$.timestamp", now))
-    return log.withColumn("_v", parsed(F.col("value"))).select(
-        *[F.col(c).alias(f"log_{c}") if c in ("timestamp", "key") else F.col(c) for c in kept],
-        v.isNotNull().alias("is_json"),
-        F.coalesce(
-            truthy_text(v, "$.id"), F.nullif(F.col("key"), F.lit("")), F.lit(UNKNOWN)
-        ).alias("id"),
-        F.coalesce(truthy_text(v, "$.text"), truthy_text(v, "$.original_text"), F.lit("")).alias("text"),
-        F.try_variant_get(v, "$.embedding", "array<float>").alias("embedding"),
-        F.coalesce(chosen, normalize_timestamp(v, "$.processing_timestamp", now)).alias("timestamp"),
-        F.coalesce(
-            truthy_text(v, "$.source"),
-            truthy_text(v, "$.model_name"),
-            truthy_text(v, "$.input_source"),
-            F.lit(UNKNOWN),
-        ).alias("source"),
-        F.coalesce(text_at(v, "$.metadata"), F.lit("{}")).alias("metadata"),
-        F.coalesce(truthy_text(v, "$.table_name"), F.lit(DEFAULT_TABLE)).alias("table_name"),
-    )
+    keep = [
+        F.col(c).alias(f"log_{c}") if c in ("timestamp", "key") else F.col(c)
+        for c in log.columns
+        if c != "value"
+    ]
+    key = F.nullif(F.col("key"), F.lit(""))
+
+    def first_of(v: Column, *names: str, last: Column) -> Column:
+        return F.coalesce(*[truthy_text(v, f"$.{name}") for name in names], last)
+
+    def fields(v: Column) -> dict[str, Column]:
+        given = truthy_text(v, "$.timestamp").isNotNull()
+        return {
+            "is_json": v.isNotNull(),
+            "id": first_of(v, "id", last=F.coalesce(key, F.lit(UNKNOWN))),
+            "text": first_of(v, "text", "original_text", last=F.lit("")),
+            "embedding": F.try_variant_get(v, "$.embedding", "array<float>"),
+            "timestamp": F.when(given, normalize_timestamp(v, "$.timestamp", now)).otherwise(
+                normalize_timestamp(v, "$.processing_timestamp", now)
+            ),
+            "source": first_of(v, "source", "model_name", "input_source", last=F.lit(UNKNOWN)),
+            "metadata": F.coalesce(text_at(v, "$.metadata"), F.lit("{}")),
+            "table_name": first_of(v, "table_name", last=F.lit(DEFAULT_TABLE)),
+        }
+
+    return _read_once(log, keep, fields)
 
 
 # --- rejecting ------------------------------------------------------------------------

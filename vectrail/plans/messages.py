@@ -237,7 +237,7 @@ def embedding_output(spark, sf):
         F.variant_get(v, "$.processing_timestamp", "double").alias("processing_timestamp"),
         F.variant_get(v, "$.input_timestamp", "double").alias("input_timestamp"),
         F.variant_get(v, "$.input_source", "string").alias("input_source"),
-        F.round(F.variant_get(v, "$.embedding[0]", "double"), 5).alias("first_value"),
+        F.round(F.variant_get(v, "$.embedding[0]", "float").cast("double"), 5).alias("first_value"),
     )
 
 

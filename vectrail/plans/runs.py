@@ -87,18 +87,18 @@ MEASURES = (
 
 
 @plan(f"""WITH {RUNS_SQL} SELECT user_id, chunks_processed,
-  {", ".join(f"round({c}, {digits(c)}) AS {c}" for c in MEASURES)} FROM results""")
+  {", ".join(MEASURES)} FROM results""")
 def run_metrics(spark, sf):
-    return rounded(results(spark, sf).select("user_id", "chunks_processed", *MEASURES), *MEASURES)
+    return results(spark, sf).select("user_id", "chunks_processed", *MEASURES)
 
 
 @plan(f"""WITH {RUNS_SQL} SELECT user_id,
-  round(duration_s * 1000 / greatest(1, chunks_persisted), 3) AS result_ms,
-  round(chunks_persisted / greatest(1, chunks_produced), 6) AS success_rate FROM results""")
+  duration_s * 1000 / greatest(1, chunks_persisted) AS result_ms,
+  chunks_persisted / greatest(1, chunks_produced) AS success_rate FROM results""")
 def run_metrics_persisted(spark, sf):
     """The same with runs judged by what was persisted."""
     judged = ops.run_metrics(runs(spark, sf), counted="chunks_persisted")
-    return rounded(judged.select("user_id", "result_ms", "success_rate"), "result_ms", "success_rate")
+    return judged.select("user_id", "result_ms", "success_rate")
 
 
 @plan(f"""WITH {RUNS_SQL}
@@ -253,21 +253,18 @@ def written(spark, sf):
 
 @plan(f"""WITH {RUNS_SQL}
 SELECT architecture AS "Architecture", model AS "Model", dataset AS "Dataset", chunk_size_kb AS "Chunk",
-       coalesce(CAST(burst_length_s AS VARCHAR), '') AS "Burst_Length", round(result_ms, 3) AS "Result_ms" FROM results""")
+       coalesce(CAST(burst_length_s AS VARCHAR), '') AS "Burst_Length", result_ms AS "Result_ms" FROM results""")
 def results_summary(spark, sf):
     """Written as CSV and read back."""
     schema = "Architecture string, Model string, Dataset string, Chunk double, Burst_Length string, Result_ms double"
     back = spark.read.schema(schema).option("header", True).csv(f"{written(spark, sf)}/summary")
-    return back.withColumns(
-        {"Burst_Length": F.coalesce("Burst_Length", F.lit("")), "Result_ms": F.round("Result_ms", 3)}
-    )
+    return back.withColumn("Burst_Length", F.coalesce("Burst_Length", F.lit("")))
 
 
 DETAIL = [f.name for f in RUN_RESULT.fields]
 
 
 @plan(f"""WITH {RUNS_SQL} SELECT
-{", ".join(f"round({c}, {digits(c)}) AS {c}" if c in MEASURES else c for c in DETAIL)} FROM results""")
+{", ".join(DETAIL)} FROM results""")
 def results_detailed(spark, sf):
-    back = spark.read.schema(RUN_RESULT).option("header", True).csv(f"{written(spark, sf)}/detailed")
-    return rounded(back, *MEASURES)
+    return spark.read.schema(RUN_RESULT).option("header", True).csv(f"{written(spark, sf)}/detailed")
