@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 # Unicode white space plus the four ASCII separators, as in Python's str.split().
 SPACE = r"[\s\x1c-\x1f]"
 SPACES = rf"(?U){SPACE}+"
-EDGES = rf"(?U)\A{SPACE}+|{SPACE}+\z"
+# The same characters one by one.
+SPACE_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # Accepted language names and codes.
 LANGUAGE_CODES = {
@@ -33,7 +37,7 @@ def bind(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, EDGES, "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -72,23 +76,26 @@ def clean_latex(text: Column) -> Column:
     out = collapse_spaces(F.coalesce(text, F.lit("")))
     out = F.regexp_replace(out, r"\\[a-zA-Z]+\{([^}]*)\}", "$1")
     out = F.regexp_replace(out, r"\\([a-zA-Z])", "$1")
-    return strip(out)
+    return F.trim(out)
 
 
 def clean_wiki(text: Column) -> Column:
-    """P5: strip encyclopedia markup; white space is collapsed first, so removals may
-    leave double spaces behind."""
+    """P5: strip encyclopedia markup.
+
+    White space is collapsed first, so the other patterns need to know blanks only, a
+    heading can only be the whole text, and removals may leave double blanks behind.
+    """
     out = collapse_spaces(F.coalesce(text, F.lit("")))
     for pattern, replacement in (
-        (r"\{\{[^}]*\}\}", ""),                         # templates
-        (r"\[\[([^|\]]*\|)?([^\]]*)\]\]", "$2"),       # page links, keep the label
-        (r"(?U)\[http[^\s\x1c-\x1f\]]*[\s\x1c-\x1f]*([^\]]*)\]", "$1"),  # web links
-        (r"(?s)<!--.*?-->", ""),                        # comments
-        (r"'{2,}", ""),                                  # bold and italic marks
-        (r"(?Um)^[\s\x1c-\x1f]*=+[\s\x1c-\x1f]*(.+?)[\s\x1c-\x1f]*=+[\s\x1c-\x1f]*$", "$1"),  # headings
+        (r"\{\{[^}]*\}\}", ""),                    # templates
+        (r"\[\[([^|\]]*\|)?([^\]]*)\]\]", "$2"),  # page links, keep the label
+        (r"\[http[^ \]]* *([^\]]*)\]", "$1"),      # web links
+        (r"<!--.*?-->", ""),                         # comments
+        (r"'{2,}", ""),                              # bold and italic marks
+        (r"\A *=+ *(.+?) *=+ *\z", "$1"),            # headings
     ):
         out = F.regexp_replace(out, pattern, replacement)
-    return strip(out)
+    return F.trim(out)
 
 
 def language_code(name: Column) -> Column:

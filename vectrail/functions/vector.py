@@ -33,13 +33,11 @@ def cosine_distance(a: Column, b: Column, norm_b: Column | None = None) -> Colum
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    return bind(
-        _double(v),
-        lambda e: bind(
-            norm(e),
-            lambda n: F.transform(e, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")),
-        ),
-    )
+    def divided(e: Column) -> Column:
+        length = F.coalesce(F.nullif(norm(e), F.lit(0.0)), F.lit(1.0))
+        return bind(length, lambda n: F.transform(e, lambda x: (x / n).cast("float")))
+
+    return bind(_double(v), divided)
 
 
 def fit_dimension(v: Column, dim: int) -> Column:

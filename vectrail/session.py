@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -54,7 +55,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     extra shuffle is paid only for inputs of a few files. So is anything that was shuffled
     already, which asking for its partitions would run.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if re.search(r"(?<!Broadcast)Exchange ", df._jdf.queryExecution().executedPlan().toString()):
         return df
     wanted = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= wanted:

@@ -27,6 +27,7 @@ from ..functions.messages import (
 )
 from ..operators.joins import unprocessed
 from ..operators.tables import KeyedTable
+from ..session import spread
 from ..sources import log as message_log
 
 Embed = Callable[[DataFrame], DataFrame]
@@ -117,7 +118,9 @@ def embed_batch(embed: Embed, sink: Body, now: Column, dead: DeadLetters | None)
     """Refuse unreadable and blank messages, embed the rest, emit output messages."""
 
     def body(batch: DataFrame, name: str) -> None:
-        checked = with_reject_reason(parse_text_messages(batch), text_message_checks()).persist()
+        checked = with_reject_reason(
+            parse_text_messages(spread(batch)), text_message_checks()
+        ).persist()
         embedded = embed(good(checked)).persist()
         output = embedded.filter("embed_error is null")
         sink(
@@ -161,7 +164,9 @@ def embed_store_batch(table: KeyedTable, embed: Embed, now: Column, dead: DeadLe
     """Parse, embed and upsert in one job; a message without a time gets the present."""
 
     def body(batch: DataFrame, name: str) -> None:
-        checked = with_reject_reason(parse_text_messages(batch), text_message_checks()).persist()
+        checked = with_reject_reason(
+            parse_text_messages(spread(batch)), text_message_checks()
+        ).persist()
         embedded = embed(good(checked)).persist()
         created = F.coalesce(
             F.timestamp_micros(F.round(F.col("input_timestamp") * 1e6).cast("bigint")), now
@@ -230,7 +235,7 @@ def incremental_embed_batch(table: KeyedTable, embed: Embed, now: Column):
     """
 
     def body(batch: DataFrame, name: str) -> None:
-        pending = unprocessed(batch, table.read(before=name))
+        pending = unprocessed(spread(batch, "id"), table.read(before=name))
         table.append(embed_messages(pending, embed, now), name, order=OLDEST_FIRST)
 
     return body
