@@ -64,7 +64,7 @@ def test_last_message_wins_in_one_batch_or_many(spark, folder):
 
 
 def test_embed_then_write(spark, folder):
-    """The two stages of the log pipeline; a failing model costs one message."""
+    """Both stages from log to table; a failing model costs one message."""
 
     def load(name):
         def encode(texts):

@@ -17,6 +17,7 @@ from ..functions.text import (
 )
 from ..session import spread
 from ..sources.corpus import check_budget
+from .limits import first_rows
 
 # The names datasets go by.
 NEWS, PAPERS, ENCYCLOPEDIA = "cc_news", "arxiv", "wikipedia"
@@ -92,7 +93,7 @@ TOKEN_ESTIMATES = {
 def sample_documents(df: DataFrame, max_documents: int, order: str) -> DataFrame:
     """The first documents by ``order``, counted before empty ones fall out."""
     check_budget(max_documents, "max_documents")
-    return df.orderBy(order).limit(max_documents)
+    return first_rows(df, max_documents, order)
 
 
 def capped_chunks(
@@ -112,9 +113,9 @@ def capped_chunks(
     non_empty = df.filter(
         compose_document(clean(F.col(title)), clean(F.col(body))).rlike(r"(?U)[^\s\x1c-\x1f]")
     )
-    first = non_empty.orderBy(doc_id).limit(max_chunks)
+    first = first_rows(non_empty, max_chunks, doc_id)
     chunks = CHUNKERS[dataset](first, budget, doc_id)
-    return chunks.orderBy(doc_id, "chunk_index").limit(max_chunks)
+    return first_rows(chunks, max_chunks, doc_id, "chunk_index")
 
 
 def dataset_chunks(sources: dict[str, DataFrame], budget: int, doc_id: str = "doc_id") -> DataFrame:

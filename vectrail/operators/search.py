@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.vector import cosine_distance, literal
 from ..session import new_scratch
+from .limits import HEAP_ROWS, first_rows
 
 # Distances are compared at this many digits, ties fall to the id.
 DIGITS = 6
@@ -23,10 +24,19 @@ QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 QUERY_SLICE = 1024
 
 
-def newest(df: DataFrame, by: str, id: str, limit: int, offset: int = 0) -> DataFrame:
-    """L1: newest first; a per-task top-k, never a full sort."""
-    ordered = df.orderBy(F.col(by).desc(), F.col(id))
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+def newest(
+    df: DataFrame, by: str, id: str, limit: int, offset: int = 0, heap_rows: int = HEAP_ROWS
+) -> DataFrame:
+    """L1: newest first by a time column; a per-task top-k, and for pages too deep for one
+    a cut by key."""
+    if offset + limit <= heap_rows:
+        ordered = df.orderBy(F.col(by).desc(), F.col(id))
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
+    age = F.coalesce(-F.unix_micros(by), F.lit(2**63 - 1))
+    page = first_rows(
+        df.withColumn("_age", age), limit, "_age", id, skip=offset, heap_rows=heap_rows
+    )
+    return page.orderBy("_age", id).drop("_age")
 
 
 def paginate(

@@ -81,11 +81,9 @@ def corpus_news_chunks(spark, sf):
     return shown(ops.news_chunks(spread(news(spark, sf), "doc_id"), BUDGET, "doc_id"))
 
 
-@plan(f"""WITH RECURSIVE {PAPERS}, picked AS (SELECT * FROM papers WHERE lang = 'fr' OR source = 'src1'),
-{sql_word_chunks('picked', BUDGET)} SELECT {SHOWN} FROM chunks""")
+@plan(f"WITH RECURSIVE {PAPERS}, {sql_word_chunks('papers', BUDGET)} SELECT {SHOWN} FROM chunks")
 def corpus_arxiv_chunks(spark, sf):
-    kept = ops.filter_categories(papers(spark, sf), ["fr", "src1"])
-    return shown(ops.paper_chunks(spread(kept, "doc_id"), BUDGET, "doc_id"))
+    return shown(ops.paper_chunks(spread(papers(spark, sf), "doc_id"), BUDGET, "doc_id"))
 
 
 @plan(f"WITH RECURSIVE {ARTICLES}, {sql_paragraph_chunks('articles', BUDGET)} SELECT {SHOWN} FROM chunks")
