@@ -46,11 +46,13 @@ TEXTS = [
     " ".join("q" * rng.randint(1, 30) for _ in range(2500)),
     " ".join("q" * rng.choice([1, 2, 3, 6, 7, 8, 10, 11]) for _ in range(1500)),
     "word " * 3000,
+    "word " * 60000,
+    " ".join("q" * rng.choice([1, 5, 30, 250, 255, 259, 270, 511, 515, 1023, 1027]) for _ in range(600)),
     "one\n\ntwo\n\n\n\nthree " + "long " * 50 + "\n\n" + "end",
 ]
 
 
-@pytest.mark.parametrize("budget", [1, 2, 3, 5, 32, 128, 256, 257, 2560])
+@pytest.mark.parametrize("budget", [1, 2, 3, 5, 32, 63, 64, 65, 127, 128, 129, 191, 256, 513, 2560, 20480, 20481])
 def test_word_chunks(spark, budget):
     want = [of_words(t, budget) for t in TEXTS]
     assert chunked(spark, TEXTS, lambda x: c.word_chunks(x, budget)) == want

@@ -1,8 +1,8 @@
 """Splitting one text into chunks under a token budget.
 
-Every chunker maps text to ``array<string>``. Small budgets of words are one regular
-expression; otherwise a fold over the pieces carries only where chunks start, and the piece
-array is cut once per chunk.
+Every chunker maps text to ``array<string>``. Words are packed by one regular expression;
+huge budgets, and paragraphs, by a fold over the pieces that carries only where chunks
+start, after which the piece array is cut once per chunk.
 """
 
 from __future__ import annotations
@@ -71,9 +71,10 @@ def pack(pieces: Column, cost, budget: int) -> Column:
     return bind(pieces, cut)
 
 
-# The pattern below nests one match per token. A default 1 MB thread stack was seen to hold
-# 1024 of them in a cold JVM; this keeps a wide margin.
-PATTERN_BUDGET = 256
+# The pattern below nests one match per block of tokens and per token of the rest. A default
+# 1 MB thread stack was seen to hold 1024 of them in a cold JVM; under half of that is allowed.
+TOKEN_BLOCK = 64
+PATTERN_BUDGET = 320 * TOKEN_BLOCK
 
 
 def _word_pattern(budget: int) -> str:
@@ -83,10 +84,17 @@ def _word_pattern(budget: int) -> str:
     A word costs one token per four characters of itself and its space. So reading from a
     word's start, a token is three non-spaces and any character, and up to two non-spaces
     and a space close the word for free. A word above the budget stands alone.
+
+    Tokens are taken in whole blocks first, then singly; the single ones are enough to fill
+    a block, so stepping back from the middle of a word passes over no word's end.
     """
     oversize = rf"[^ ]{{{4 * budget + 3},}} "
     free = r"(?:[^ ]{0,2} )*+"
-    return rf"(?s){oversize}|(?=[^ ])(?:{free}[^ ]{{3}}.){{0,{budget}}}{free}(?<= )"
+    token = rf"{free}[^ ]{{3}}."
+    blocks = max(0, (budget - TOKEN_BLOCK + 1) // TOKEN_BLOCK)
+    singles = budget - blocks * TOKEN_BLOCK
+    taken = rf"(?:(?:{token}){{{TOKEN_BLOCK}}}+){{0,{blocks}}}(?:{token}){{0,{singles}}}"
+    return rf"(?s){oversize}|(?=[^ ]){taken}{free}(?<= )"
 
 
 def word_chunks(text: Column, budget: int) -> Column:
