@@ -11,12 +11,15 @@ from vectrail.operators import corpora
 
 def greedy(pieces, cost, budget):
     """The definition, spelled out piece by piece."""
-    out = []
+    out, used = [], 0
     for piece in pieces:
-        if out and sum(map(cost, out[-1])) + cost(piece) <= budget:
+        price = cost(piece)
+        if out and used + price <= budget:
             out[-1].append(piece)
+            used += price
         else:
             out.append([piece])
+            used = price
     return [" ".join(chunk) for chunk in out]
 
 
