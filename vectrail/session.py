@@ -38,7 +38,7 @@ def scratch_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     return _LOCAL_ROOT.setdefault(context.applicationId, tempfile.mkdtemp(prefix="vectrail-"))
 
