@@ -21,7 +21,7 @@ from .links import components
 from .scratch import stored
 
 WORDS = 5
-MINIMA = 4
+MINIMA = 8
 LIST_ROWS = 8192
 BROADCAST_ROWS = 1_000_000
 HUB_MEMBERS = 2000
@@ -191,7 +191,7 @@ def _verified(percent: int):
 
     def run(batches):
         hub = share = own = None
-        for batch in batches:
+        for batch in batches:  # a set may come twice if an id does
             a, b = [], []
             hubs, shares, members = (batch.column(c).to_numpy() for c in ("a", "share", "b"))
             for k, raw in enumerate(batch.column("hashes")):
@@ -224,19 +224,33 @@ def _links(texts: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, perce
     pairs = stored(pairs.where("a <> b"), "pairs")
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = stored(reps.join(needed, "node").select(F.col("rep").alias("id")), "needed")
-    rows = _with_few(texts, ids, "id", "left_semi").select("text")
-    sets = stored(rows.mapInArrow(_sets(size), "node long, hashes binary").dropDuplicates(["node"]), "sets")
+    sets = _with_few(texts, ids, "id", "left_semi").select("text").mapInArrow(_sets(size), "b long, hashes binary")
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("shares"))
     share = F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share")
     members = pairs.join(hubs, "a").select("a", share, "b")
     selves = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("a").alias("b"))
-    rows = members.unionByName(selves).join(sets.withColumnRenamed("node", "b"), "b")
+    rows = _with_few(sets, stored(members.unionByName(selves), "members"), "b", "inner")
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.withColumn("first", F.col("a") != F.col("b")).repartition(tasks, "a", "share")
     rows = rows.sortWithinPartitions("a", "share", "first").select("a", "share", "b", "hashes")
     return stored(rows.mapInArrow(_verified(percent), "a long, b long"), "links")
 
 
+def _stars(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a hub and a set that has two of its minima at least.
+
+    The hub of a minimum is the set whose minima are the most common: the middle of a group.
+    """
+    keys = nodes.select("node", F.posexplode("minima").alias("k", "key"))
+    common = keys.groupBy("k", "key").agg(F.count("*").alias("many")).where("many > 1")
+    live = stored(keys.join(common, ["k", "key"]), "minima")
+    weight = live.groupBy("node").agg(F.sum("many").alias("weight"))
+    live = stored(live.join(weight, "node").select("k", "key", "node", "weight"), "weighted-minima")
+    hubs = live.groupBy("k", "key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
+    stars = live.join(hubs, ["k", "key"]).where("a <> node")
+    return stars.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("alike")).where("alike > 1").select("a", "b")
+
+
 def similar_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -275,10 +289,7 @@ def similar_groups(
 
     nodes = stored(base.where("n > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("minima").alias("minima")), "nodes")
     reps = nodes.select("node", "rep")
-    keys = nodes.select("node", F.posexplode("minima").alias("k", "key"))
-    hubs = keys.groupBy("k", "key").agg(F.min("node").alias("a"), F.count("*").alias("many")).where("many > 1").drop("many")
-    stars = keys.join(hubs, ["k", "key"]).select("a", F.col("node").alias("b")).distinct()
-    links = _links(texts, reps, stars, size, percent)
+    links = _links(texts, reps, _stars(nodes), size, percent)
     known = stored(components(links), "known")
 
     rows = base.where("n > 0").select("id", "node").join(reps, "node", "left").join(known, "node", "left")
