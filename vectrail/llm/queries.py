@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, lines, packing, quality
+from . import automaton, capfilters, contamination, jaccard, language, lines, packing, quality, urls
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -20,6 +20,15 @@ def fold(parts: int, id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string")) % parts
 
 
+@query()
+def op1_language_codes(spark, sf_dir):
+    """Every document's language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit_languages(docs, key=F.col("doc_id"), trainable=fold(5) != 0)
+    found = language.predict_languages(docs, model)
+    return found.withColumn("held_out", fold(5) == 0)
+
+
 @query()
 def op2_quality_classifier(spark, sf_dir):
     """Every document's probability of being marked good."""
@@ -29,6 +38,34 @@ def op2_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
 
 
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+
+
+@query(f"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULES_SQL}),
+parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path
+  FROM pages),
+ranked AS (
+  SELECT page_id, host, path, r_host || r_path AS rule, r_verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(r_host || r_path) DESC NULLS LAST) AS place
+  FROM parts LEFT JOIN rules
+    ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path))
+SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM ranked WHERE place = 1""")
+def op3_url_filter(spark, sf_dir):
+    """The verdict on every page's url."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"), urls.rules_frame(spark, RULES))
+
+
 @query(r"""
 WITH RECURSIVE tokens AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
@@ -57,6 +94,27 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
+
+
+@query(f"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE {_COSINE} >= 0.93),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a),
+reach(node, low) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node),
+lowest AS (SELECT node AS vec_id, min(low) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN counts USING (vec_id) JOIN lowest USING (vec_id)""")
+def op6_cap_filters(spark, sf_dir):
+    """Links of every embedding with those of its label at a cosine of at least 0.93."""
+    return capfilters.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query()
 def op7_best_fit_packing(spark, sf_dir):
     """Every document as token pieces packed into sequences of 1024."""
@@ -93,3 +151,9 @@ def op8_line_dedup(spark, sf_dir):
 def op9_decontamination(spark, sf_dir):
     """Every benchmark item in every document that holds it."""
     return contamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_backoff_automaton(spark, sf_dir):
+    """Every document's log-probability, learned from six sevenths of them."""
+    return automaton.score_texts(table(spark, sf_dir, "documents"), trainable=fold(7) != 2)
