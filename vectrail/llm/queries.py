@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, capfilters, contamination, jaccard, language, lines, packing, quality, urls
+from . import automaton, capfilters, contamination, jaccard, language, lines, packing, quality, substrings, urls
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -94,6 +94,20 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op4_substring_dedup(spark, sf_dir):
+    """Documents without the bytes of 200-byte strings that occur more than once."""
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["begin"])
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 _COSINE = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from ..fs import remove, size_bytes
+from ..fs import size_bytes
 from ..session import new_scratch
 
-BROADCAST_BYTES = 64 << 20
-
-
 def stored(df: DataFrame, label: str, *, buckets: str | None = None) -> DataFrame:
     """The rows of ``df``, computed once."""
     path = new_scratch(df.sparkSession, label)
@@ -19,16 +16,6 @@ def stored(df: DataFrame, label: str, *, buckets: str | None = None) -> DataFram
 
 
 def stored_bytes(df: DataFrame) -> int:
-    """Bytes on disk behind a table that ``stored`` gave."""
-    return sum(size_bytes(df.sparkSession, f.rsplit("/", 1)[0]) for f in df.inputFiles()[:1])
-
-
-def forget(*tables: DataFrame) -> None:
-    """Remove stored tables that nothing reads any more."""
-    for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-            remove(df.sparkSession, path)
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+    """Bytes on disk behind a table that ``stored`` gave; 0 if it has no rows."""
+    files = df.inputFiles()
+    return size_bytes(df.sparkSession, files[0].rsplit("/", 1)[0]) if files else 0
