@@ -197,7 +197,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = source.withColumn("doc", F.xxhash64("id", "text"))
     found = stored(named.select("doc", "text").mapInArrow(_anchors(length, gram), _FOUND), "anchors")
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
-    again = stored(found.join(keys.select("key", (F.col("low") != F.col("high")).alias("mixed")), "key"), "repeats", buckets="mixed")
+    keys = stored(keys.select("key", (F.col("low") != F.col("high")).alias("mixed")), "keys")
+    again = stored(found.join(keys, "key"), "repeats", buckets="mixed")
     end = F.col("start") + F.col("windows") - 1 + length
     mixed = again.where("mixed")
     spans = mixed.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows", "place")).alias("at"))
