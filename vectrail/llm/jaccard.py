@@ -6,7 +6,8 @@
    comparisons that finds most of each group of similar sets. These answers serve all members.
 3. Index lists: a shingle among the first of a set (rarest first) lists the set with its size and
    position. Blocks of a list that size or position rule out are skipped, and so is every pair whose
-   sets the answers at hand already connect. What is left is compared exactly.
+   sets the answers at hand already connect, or whose element parities show that they differ too
+   much. What is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ MINIMA = 8
 LIST_ROWS = 8192
 BROADCAST_ROWS = 1_000_000
 HUB_MEMBERS = 2000
+PARITY_BITS = 256
+PARITY_SIZE = 256  # sets up to this size carry the parities: larger ones differ in more elements than they can tell
 _SALTS = np.random.default_rng(77).integers(1, 1 << 63, MINIMA, dtype=np.uint64)
 _BASE_SCHEMA = "id {id}, n long, node long, minima array<long>, part int, counts binary"
 
@@ -90,13 +93,21 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(percent * (n + m)) // (100 + percent))
 
 
+def _parities(hashes: np.ndarray) -> bytes:
+    """For each of 256 classes of elements whether the set has an odd number of them.
+
+    Two sets whose parities disagree in d classes differ in d elements at least.
+    """
+    return np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+
+
 def _lists(size: int, percent: int, bits: int, frequency, schema: pa.Schema):
     def run(batches):
         counts = frequency.value
         limit = max(LIST_ROWS, 8 * int(counts.mean()))
         seen: set[int] = set()
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out, parities = [[] for _ in range(6)], []
             comps = batch.column("comp").to_pylist()
             for row, hashes in blocks.shingle_sets(batch.column("text"), size):
                 n = len(hashes)
@@ -112,6 +123,7 @@ def _lists(size: int, percent: int, bits: int, frequency, schema: pa.Schema):
                 order = np.argsort(often, kind="stable")[:first]
                 place = np.flatnonzero(often[order] > 1)  # a shingle counted once is in no other set
                 order = order[place]
+                parity = _parities(hashes) if n <= PARITY_SIZE else None
                 shares = np.maximum(1, -(-often[order].astype(np.int64) // limit))
                 token, comp = hashes[order].astype(np.int64), node if comps[row] is None else comps[row]
                 for share in np.unique(shares):
@@ -120,10 +132,12 @@ def _lists(size: int, percent: int, bits: int, frequency, schema: pa.Schema):
                     for other in range(int(share)):
                         pair = min(own, other) * int(share) + max(own, other)
                         k = int(at.sum())
+                        parities += [parity] * k
                         for values, column in zip(out, (token[at], np.full(k, pair), np.full(k, n), place[at], np.full(k, node), np.full(k, comp))):
                             values.append(column)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(out, schema)], schema=schema)
+                arrays = [pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(out, schema)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(parities, pa.binary())], schema=schema)
 
     return run
 
@@ -142,6 +156,9 @@ def _candidates(percent: int):
                 lo, hi = bounds[g], bounds[g + 1]
                 if (comp[lo:hi] == comp[lo]).all():
                     continue
+                held_bits = table.column("bits").slice(lo, hi - lo).to_pylist()
+                has = np.array([b is not None for b in held_bits])
+                bits = np.frombuffer(b"".join(b or bytes(PARITY_BITS // 8) for b in held_bits), np.uint64).reshape(hi - lo, -1)
                 for i in range(lo, hi - 1):  # sorted by size: skip to the block of sizes in reach
                     end = lo + int(np.searchsorted(n[lo:hi], 100 * n[i] // percent, "right"))
                     if end <= i + 1:
@@ -151,7 +168,10 @@ def _candidates(percent: int):
                     if not len(others):
                         continue
                     most = np.minimum(n[i] - place[i], n[others] - place[others])
-                    others = others[most >= overlap_needed(n[i], n[others], percent)]
+                    needed = overlap_needed(n[i], n[others], percent)
+                    apart = np.bitwise_count(bits[others - lo] ^ bits[i - lo]).sum(axis=1, dtype=np.int64)
+                    apart[~(has[others - lo] & has[i - lo])] = 0
+                    others = others[(most >= needed) & (apart <= n[i] + n[others] - 2 * needed)]
                     if len(others):
                         found_a.append(np.minimum(node[i], node[others])), found_b.append(np.maximum(node[i], node[others]))
                         held += len(others)
@@ -297,8 +317,8 @@ def similar_groups(
     marks = stored(marks.groupBy("id").agg(F.max("root").alias("comp"), F.max(F.col("id").eqNullSafe(F.col("rep")).cast("int")).alias("keep"), F.count("*").alias("rows")), "marks")
     listed = _with_few(texts, marks, "id", "left").where("keep is null or keep = 1 or rows > 1")
     listed = listed.select("text", F.when(F.col("rows") > 1, None).otherwise(F.col("comp")).alias("comp"))
-    list_schema = pa.schema([("token", pa.int64()), ("pair", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("node", pa.int64()), ("comp", pa.int64())])
-    lists = listed.mapInArrow(_lists(size, percent, bits, held, list_schema), "token long, pair int, n int, place int, node long, comp long")
+    list_schema = pa.schema([("token", pa.int64()), ("pair", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("node", pa.int64()), ("comp", pa.int64()), ("bits", pa.binary())])
+    lists = listed.mapInArrow(_lists(size, percent, bits, held, list_schema), "token long, pair int, n int, place int, node long, comp long, bits binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = lists.repartition(tasks, "token", "pair").sortWithinPartitions("token", "pair", "n")
     pairs = lists.mapInArrow(_candidates(percent), "a long, b long").distinct()
