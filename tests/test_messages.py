@@ -93,3 +93,15 @@ def test_envelope_leaves_out_what_is_absent(spark):
     )
     got = json.loads(spark.range(1).select(value).first()[0])
     assert got == {"id": "a", "text": "t", "timestamp": 1.5, "source": "s", "metadata": {"dataset": "d", "tokens": 3}}
+
+
+def test_times_out_of_range_and_text_metadata(spark):
+    values = ['"timestamp": 1e13', '"timestamp": 1e300', '"timestamp": -1e12', '"timestamp": 1700000000.5', '"metadata": "x"', '"metadata": [1]', '"metadata": null']
+    rows = [("k", '{"id": "%d", "embedding": [1.0], %s}' % (i, v)) for i, v in enumerate(values)]
+    log = spark.createDataFrame(rows, "key string, value string")
+    out = m.normalize_embedding_messages(log, F.timestamp_seconds(F.lit(5)))
+    out = m.with_reject_reason(out, m.embedding_checks(1)).select("id", "reject_reason", "metadata", F.unix_micros("timestamp").alias("t"))
+    got = {r.id: r for r in out.collect()}
+    assert [got[str(i)].reject_reason for i in range(7)] == ["invalid_timestamp"] * 3 + [None] * 4
+    assert got["3"].t == 1700000000500000 and got["4"].t == 5000000
+    assert [got[str(i)].metadata for i in (4, 5, 6)] == ['"x"', "[1]", "{}"]

@@ -6,16 +6,17 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from vectrail.plans import QUERIES as PLANS
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
+QUERIES = {name: plan for name, plan in entry.queries().items() if name in PLANS}
 
 
 def plan_of(spark, name):
     return QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
 
 
-NATIVE = [n for n in QUERIES if n not in ("embed_by_model", "embed_model", "topk_cosine_batch")]
+NATIVE = [n for n in QUERIES if n not in ("embed_by_model", "embed_model", "topk_cosine_batch", "topk_cosine_batch_ragged")]
 
 
 @pytest.mark.parametrize("name", sorted(n for n in NATIVE if not n.startswith(("stream", "scan"))))
@@ -25,6 +26,13 @@ def test_no_cross_joins_or_python(spark, name):
     assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
 
 
+@pytest.mark.parametrize("name", ["corpus_sample", "corpus_chunk_cap"])
+def test_limits_sort_no_texts(spark, name):
+    """Documents wanted are cut out by key where they are."""
+    plan = plan_of(spark, name)
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan and "TakeOrdered" not in plan
+
+
 @pytest.mark.parametrize(
     "name", ["topk_cosine", "search_text", "read_latest", "paginate_messages", "unprocessed_batch", "search_corpus"]
 )

@@ -16,6 +16,15 @@ def test_first_rows_both_ways(spark, n, skip):
     assert sorted(tuple(r) for r in first_rows(df, n, "a", "x", skip=skip).collect()) == want
 
 
+@pytest.mark.parametrize("n, skip", [(15, 0), (15, 3), (3, 12), (40, 0), (9, 35), (5, 50), (1, 19)])
+def test_limits_with_equal_keys_do_not_depend_on_the_way(spark, n, skip):
+    """40 rows over 4 keys, some rows equal: exactly n rows, the same ones by heap and by sort."""
+    df = spark.range(40).select((F.col("id") % 4).alias("k"), F.expr("cast(id / 3 as int) as x")).repartition(5)
+    ways = [sorted(map(tuple, first_rows(df, n, "k", skip=skip, heap_rows=h).collect())) for h in (0, 100)]
+    keys = sorted(r.k for r in df.collect())[skip : skip + n]
+    assert ways[0] == ways[1] and [k for k, _ in ways[0]] == keys
+
+
 @pytest.mark.parametrize("heap_rows", [0, 1000])
 def test_pages_newest_first(spark, heap_rows):
     df = spark.range(100).select(

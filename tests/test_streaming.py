@@ -129,6 +129,31 @@ def test_pending_round_by_hand(spark, folder):
     assert jobs.process_pending(rows, table, EMBED, now(), batch_size=4) == 0
 
 
+def test_failing_messages_are_set_aside_and_retried(spark, folder):
+    """Nothing is lost and nothing blocks: stored + set aside = all messages."""
+
+    def moody(rows):
+        bad = F.col("text") == "bad"
+        return EMBED(rows).withColumn("embed_error", F.when(bad, "no"))
+
+    table = KeyedTable(spark, f"{folder}/t", TEXT_EMBEDDINGS, key=["text_message_id"], rule="first")
+    dead = jobs.DeadLetters(f"{folder}/dead")
+    rows = messages(spark, ("a", "bad", 1), ("b", "fine", 2), ("c", "bad", 3), ("d", "fine", 4))
+    taken = [jobs.process_pending(rows, table, moody, now(), 1, dead) for _ in range(5)]
+    assert taken == [1, 1, 1, 1, 0]
+    assert [r[0] for r in pairs(table.read(), "text_message_id")] == ["b", "d"]
+    assert sorted(r.key for r in dead.read(spark).collect()) == ["a", "c"]
+    assert jobs.retry_failed(rows, table, EMBED, now(), dead) == 2
+    assert [r[0] for r in pairs(table.read(), "text_message_id")] == ["a", "b", "c", "d"]
+
+    rows.write.parquet(f"{folder}/m")
+    other = KeyedTable(spark, f"{folder}/u", TEXT_EMBEDDINGS, key=["text_message_id"], rule="first")
+    aside = jobs.DeadLetters(f"{folder}/aside")
+    jobs.incremental_embed_batch(other, moody, now(), aside)(spark.read.parquet(f"{folder}/m"), "one")
+    assert [r[0] for r in pairs(other.read(), "text_message_id")] == ["b", "d"]
+    assert sorted(r.key for r in aside.read(spark).collect()) == ["a", "c"]
+
+
 def test_failed_batch_is_replayed_under_its_id(spark, folder):
     table = KeyedTable(spark, f"{folder}/table", TEXT_MESSAGES, key=["id"], rule="first")
     real, seen = jobs.text_writer_batch(table, now(), None), []

@@ -136,6 +136,30 @@ def test_many_queries_with_string_ids_and_ragged_rows(spark):
     assert [r.id for r in got] == ["a", "b"]
 
 
+def test_ragged_and_missing_queries(spark):
+    corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0]), ("d", None), ("e", [0.0, 0.0])], "id string, embedding array<float>")
+    asked = [(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0, 1.0]), (4, None), (5, [])]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<float>")
+    for block_bytes in (1 << 20, 8):
+        got = ops.top_k_many(queries, corpus, 5, "query_id", "id", block_bytes=block_bytes).collect()
+        assert sorted((r.query_id, r["rank"], r.id) for r in got) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "e"), (2, 1, "c")]
+    assert [r.id for r in ops.top_k(corpus, [1.0, 0.0], 5, "id").collect()] == ["a", "b", "e"]
+
+
+def test_a_failing_text_spares_its_batch(spark):
+    def encoder():
+        def encode(texts):
+            if "bad" in texts:
+                raise ValueError("bad text")
+            return np.array([[len(t), 1.0] for t in texts])
+
+        return encode
+
+    rows = spark.createDataFrame([("a",), ("bad",), (None,), ("abc",)], "t string").coalesce(1)
+    got = rows.select(e.model_udf(encoder)(F.col("t")).alias("v")).collect()
+    assert [r.v for r in got] == [[1.0, 1.0], None, None, [3.0, 1.0]]
+
+
 def test_clustered_search_recall(spark, folder):
     source = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     index = ann.build_index(source, f"{folder}/index", "vec_id", lists=10)

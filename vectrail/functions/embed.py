@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,16 +58,23 @@ def embed_hash(text: Column, dim: int = 384) -> Column:
 def model_udf(make_encoder: Callable[[], Encoder], batch_size: int = 64):
     """A Column function that runs a model on Arrow batches of text.
 
-    ``make_encoder`` runs once per Python worker and loads the model there.
+    ``make_encoder`` runs once per task and loads the model there. A null text, and one the
+    model fails on, gives null; the rest of its batch is not affected.
     """
 
-    def make_predict():
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make_encoder()
-        return lambda texts: np.asarray(encode(list(texts)), dtype=np.float32)
-
-    return predict_batch_udf(
-        make_predict, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size
-    )
+        for texts in batches:
+            vectors: list = [None] * len(texts)
+            given = [i for i, text in enumerate(texts) if text is not None]
+            for begin in range(0, len(given), batch_size):
+                part = given[begin : begin + batch_size]
+                for i, vector in zip(part, _encode_rows(encode, [texts.iloc[i] for i in part])[0]):
+                    vectors[i] = vector
+            yield pd.Series(vectors, dtype=object)
+
+    return predict
 
 
 def _encode_rows(encode: Encoder, texts: list[str]) -> tuple[list, list]:

@@ -102,15 +102,25 @@ def parse_timestamp_text(text: Column) -> Column:
     )
 
 
+# The first and last second of the years 1 to 9999.
+FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799
+
+
+def instant(seconds: Column) -> Column:
+    """Epoch seconds as a timestamp; null outside the years 1 to 9999."""
+    inside = seconds.between(FIRST_SECOND, LAST_SECOND)
+    return F.timestamp_micros(F.round(F.when(inside, seconds) * 1e6).try_cast("bigint"))
+
+
 def normalize_timestamp(v: Column, path: str, now: Column) -> Column:
-    """JSON number -> epoch seconds, ISO text -> its instant, anything else -> now."""
+    """JSON number -> epoch seconds, ISO text -> its instant, anything else -> now.
+
+    A number outside the years 1 to 9999 is no time: null, for the writer to refuse.
+    """
     kind, text = json_type(v, path), text_at(v, path)
-    return F.coalesce(
-        F.when(
-            kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"),
-            F.timestamp_micros(F.round(F.try_variant_get(v, path, "double") * 1e6).cast("bigint")),
-        ).when(kind == "STRING", parse_timestamp_text(text)),
-        now,
+    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.when(number, instant(F.try_variant_get(v, path, "double"))).otherwise(
+        F.coalesce(F.when(kind == "STRING", parse_timestamp_text(text)), now)
     )
 
 
@@ -183,7 +193,14 @@ def normalize_embedding_messages(log: DataFrame, now: Column) -> DataFrame:
                 normalize_timestamp(v, "$.processing_timestamp", now)
             ),
             "source": first_of(v, "source", "model_name", "input_source", last=F.lit(UNKNOWN)),
-            "metadata": F.coalesce(text_at(v, "$.metadata"), F.lit("{}")),
+            "metadata": F.coalesce(
+                F.when(
+                    json_type(v, "$.metadata") == "STRING",
+                    F.to_json(F.try_variant_get(v, "$.metadata", "variant")),
+                ),
+                text_at(v, "$.metadata"),
+                F.lit("{}"),
+            ),
             "table_name": first_of(v, "table_name", last=F.lit(DEFAULT_TABLE)),
         }
 
@@ -227,4 +244,5 @@ def embedding_checks(dim: int | None) -> dict[str, Column]:
     checks = {"malformed_json": ~F.col("is_json"), "missing_embedding": size <= 0}
     if dim is not None:
         checks["wrong_dimension"] = size != dim
+    checks["invalid_timestamp"] = F.col("timestamp").isNull()
     return checks

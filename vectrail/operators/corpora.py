@@ -118,6 +118,17 @@ def capped_chunks(
     return first_rows(chunks, max_chunks, doc_id, "chunk_index")
 
 
+def sampled_chunks(
+    df: DataFrame, dataset: str, budget: int, max_chunks: int, doc_id: str = "doc_id"
+) -> DataFrame:
+    """At most ``max_chunks`` chunks of the first ``max_chunks // 10`` documents."""
+    check_budget(max_chunks, "max_chunks")
+    if max_chunks < 10:
+        return CHUNKERS[dataset](df.limit(0), budget, doc_id)
+    first = sample_documents(df, max_chunks // 10, doc_id)
+    return first_rows(CHUNKERS[dataset](first, budget, doc_id), max_chunks, doc_id, "chunk_index")
+
+
 def dataset_chunks(sources: dict[str, DataFrame], budget: int, doc_id: str = "doc_id") -> DataFrame:
     """Chunks of one or several datasets, tagged by name and with their token estimate."""
     parts = []

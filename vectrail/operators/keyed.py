@@ -23,13 +23,17 @@ def _pick(df: DataFrame, key: Sequence[str], order: Sequence[str], chooser, also
     )
 
 
-def last_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """K2: the row with the highest position wins, as repeated upserts would leave it.
+def last_per_key(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], keep_first: Sequence[str] = ()
+) -> DataFrame:
+    """K2: the row with the highest position wins, as repeated upserts would leave it;
+    ``keep_first`` columns stay as the first of those upserts wrote them (K4).
 
     ``max_by`` combines before the shuffle, so a key with a third of the log costs each
     task one row.
     """
-    return _pick(df, list(key), order, F.max_by)
+    place = F.struct(*order)
+    return _pick(df, list(key), order, F.max_by, also=tuple((c, F.min_by(c, place)) for c in keep_first))
 
 
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -76,9 +76,10 @@ def top_k(
 ) -> DataFrame:
     """L4: the exact k nearest rows by cosine distance; undefined distances come last.
 
-    One pass; each task keeps k rows.
+    Rows without a vector, or with one of another length, are left out. One pass; each
+    task keeps k rows.
     """
-    scored = with_distance(df, query, vector).drop(vector)
+    scored = with_distance(df.filter(F.size(vector) == len(query)), query, vector).drop(vector)
     return scored.orderBy(F.round("distance", DIGITS).asc_nulls_last(), F.col(id)).limit(k)
 
 
@@ -174,11 +175,36 @@ def top_k_many(
     rows against a block and passes on k rows per query, so pairs are never written out.
     With more than one block the corpus is scanned once per block and each result is
     stored before the next block starts.
+
+    A query meets the rows whose vector is as long as its own; queries of different lengths
+    are answered apart. A null or empty query vector has no neighbours.
     """
+    sizes = queries.select(F.size(query_vector).alias("n")).filter("n > 0").distinct().collect()
+    parts = [
+        _top_k_of_size(
+            queries.filter(F.size(query_vector) == n), corpus, k, query_id, id, query_vector, vector, block_bytes, n
+        )
+        for n in sorted(r.n for r in sizes) or [1]
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _top_k_of_size(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    query_id: str,
+    id: str,
+    query_vector: str,
+    vector: str,
+    block_bytes: int,
+    dim: int,
+) -> DataFrame:
     spark = queries.sparkSession
     total = queries.count()
-    sample = queries.select(F.size(query_vector)).filter(F.col(query_vector).isNotNull()).first()
-    dim = sample[0] if sample else 0
     rows_per_block = max(1, block_bytes // (8 * max(1, dim)))
     blocks = -(-total // rows_per_block) if total else 1
     if blocks > 1:  # leave room for uneven hashing

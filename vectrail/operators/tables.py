@@ -157,7 +157,7 @@ class KeyedTable:
             self._write(without_existing(picked, self._rows(number), self.key), path, number)
             picked.unpersist()
         else:
-            self._write(last_per_key(rows, self.key, order), path, number)
+            self._write(last_per_key(rows, self.key, order, self.keep_first), path, number)
         if len(self._batches(self._covered())) >= self.compact_after and self._log_is_heavy():
             self.compact()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import chunk as c
+from ..operators.limits import HEAP_ROWS, first_rows
 from ..operators import corpora as ops
 from ..operators.metrics import chunk_stats as stats
 from ..operators.metrics import corpus_report as report
@@ -112,6 +113,17 @@ def corpus_sample(spark, sf):
     return shown(ops.paper_chunks(first, BUDGET, "doc_id"))
 
 
+@plan(f"""
+SELECT lang, CAST(count(*) AS BIGINT) AS documents, 2 AS ways
+FROM (SELECT lang FROM documents ORDER BY lang LIMIT {SAMPLE} OFFSET 7) GROUP BY lang""")
+def corpus_sample_ties(spark, sf):
+    """An order column with many equal values gives the same rows whichever way they are found."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang")
+    ways = [first_rows(docs, SAMPLE, "lang", skip=7, heap_rows=n) for n in (0, HEAP_ROWS)]
+    both = ways[0].unionByName(ways[1]).groupBy("doc_id", "lang").count()
+    return both.groupBy("lang").agg(F.count("*").alias("documents"), F.max("count").cast("int").alias("ways"))
+
+
 CAP = 100
 
 

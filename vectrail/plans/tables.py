@@ -59,7 +59,13 @@ def upsert_touch_updated_at(spark, sf):
     rows = turns(spark, sf).select(
         "id", "text", "turn", written.alias("created_at"), written.alias("updated_at")
     )
-    return keyed.last_per_key_touched(rows, ["id"], ["turn"]).select(
+    rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
+    shape = rows.drop("turn").schema
+    store = KeyedTable(spark, new_scratch(spark, "touch"), shape, key=["id"], keep_first=["created_at"])
+    store.append(rows.filter("turn < 3"), 0, order=["turn"])
+    store.compact()
+    store.append(rows.filter("turn >= 3"), 1, order=["turn"])
+    return store.read().select(
         "id",
         F.md5("text").alias("text"),
         F.unix_seconds("created_at").alias("created_at"),

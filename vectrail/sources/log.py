@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.limits import first_rows
 from ..schemas import LOG
 
 DEFAULT_PARTITIONS = 8
@@ -107,8 +108,8 @@ def read_bounded(log: DataFrame, max_messages: int = 10) -> DataFrame:
     """The first messages in (partition, offset) order, with their fields if the value
     is an object."""
     v = F.col("_v")
-    first = log.orderBy("partition", "offset").limit(max_messages)
-    return first.withColumn("_v", F.try_parse_json("value")).select(
+    first = first_rows(log, max_messages, "partition", "offset")
+    return first.withColumn("_v", F.try_parse_json("value")).orderBy("partition", "offset").select(
         "partition",
         "offset",
         "key",

@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from .. import fs
 from ..functions.messages import (
     embedding_checks,
     embedding_output,
     good,
+    instant,
     normalize_embedding_messages,
     parse_text_messages,
     required_field_checks,
@@ -70,6 +72,14 @@ class DeadLetters:
             .parquet(f"{self.path}/batch={name}")
         )
 
+    def read(self, spark: SparkSession) -> DataFrame:
+        """Everything refused so far; no rows before the first batch."""
+        names = [n for n in fs.children(spark, self.path) if fs.is_committed(spark, f"{self.path}/{n}")]
+        shape = "key string, value string, reject_reason string"
+        if not names:
+            return spark.createDataFrame([], shape)
+        return spark.read.schema(shape).parquet(*[f"{self.path}/{n}" for n in names])
+
 
 Body = Callable[[DataFrame, str], None]
 
@@ -164,13 +174,13 @@ def embed_store_batch(table: KeyedTable, embed: Embed, now: Column, dead: DeadLe
     """Parse, embed and upsert in one job; a message without a time gets the present."""
 
     def body(batch: DataFrame, name: str) -> None:
+        time = F.col("input_timestamp")
+        odd_time = {"invalid_timestamp": time.isNotNull() & instant(time).isNull()}
         checked = with_reject_reason(
-            parse_text_messages(spread(batch)), text_message_checks()
+            parse_text_messages(spread(batch)), text_message_checks() | odd_time
         ).persist()
         embedded = embed(good(checked)).persist()
-        created = F.coalesce(
-            F.timestamp_micros(F.round(F.col("input_timestamp") * 1e6).cast("bigint")), now
-        )
+        created = F.coalesce(instant(F.col("input_timestamp")), now)
         rows = embedded.filter("embed_error is null").select(
             "id",
             "text",
@@ -214,8 +224,11 @@ def text_writer_batch(table: KeyedTable, now: Column, dead: DeadLetters | None,
 def embed_messages(messages: DataFrame, embed: Embed, now: Column) -> DataFrame:
     """Pending messages (id, content, created_at) as rows of the embeddings table, ranked
     by the age of the message."""
-    embedded = embed(messages.withColumnRenamed("content", "text")).filter("embed_error is null")
-    return embedded.select(
+    return embedded_rows(embed(messages.withColumnRenamed("content", "text")), now)
+
+
+def embedded_rows(embedded: DataFrame, now: Column) -> DataFrame:
+    return embedded.filter("embed_error is null").select(
         F.col("id").alias("text_message_id"),
         F.col("text").alias("text_content"),
         "embedding",
@@ -227,31 +240,75 @@ def embed_messages(messages: DataFrame, embed: Embed, now: Column) -> DataFrame:
 OLDEST_FIRST = ["message_created_at", "text_content"]
 
 
-def incremental_embed_batch(table: KeyedTable, embed: Embed, now: Column):
+def failed_messages(embedded: DataFrame) -> DataFrame:
+    """Messages the model failed on, as dead letters: the id and the text."""
+    return embedded.filter("embed_error is not null").select(
+        F.col("id").alias("key"), F.col("text").alias("value"), F.lit("embedding_failed").alias("reject_reason")
+    )
+
+
+def incremental_embed_batch(
+    table: KeyedTable, embed: Embed, now: Column, dead: DeadLetters | None = None
+):
     """T5: of the messages that arrived, embed those without an embedding.
 
     The checkpoint stands in for the poller's last timestamp, so late and equal times
-    are not lost.
+    are not lost. Messages the model fails on go to ``dead``, from where ``retry_failed``
+    takes them up again.
     """
 
     def body(batch: DataFrame, name: str) -> None:
         pending = unprocessed(spread(batch, "id"), table.read(before=name))
-        table.append(embed_messages(pending, embed, now), name, order=OLDEST_FIRST)
+        embedded = embed(pending.withColumnRenamed("content", "text")).persist()
+        try:
+            table.append(embedded_rows(embedded, now), name, order=OLDEST_FIRST)
+            if dead is not None:
+                dead.write(failed_messages(embedded), name)
+        finally:
+            embedded.unpersist()
 
     return body
 
 
 def process_pending(
-    messages: DataFrame, table: KeyedTable, embed: Embed, now: Column, batch_size: int | None = 10
+    messages: DataFrame,
+    table: KeyedTable,
+    embed: Embed,
+    now: Column,
+    batch_size: int | None = 10,
+    dead: DeadLetters | None = None,
+) -> int:
+    """One round of the poller, by hand: embed the oldest pending messages and give the
+    number taken up.
+
+    With ``dead``, messages the model fails on are set aside there and no later round
+    takes them again, so a failing message blocks nothing; without it they stay pending.
+    """
+    if dead is not None:
+        aside = dead.read(messages.sparkSession).filter("reject_reason = 'embedding_failed'")
+        messages = messages.join(aside.select(F.col("key").alias("id")), "id", "left_anti")
+    pending = spread(unprocessed(messages, table.read(), batch_size), "id").persist()
+    embedded = embed(pending.withColumnRenamed("content", "text")).persist()
+    try:
+        count = pending.count()
+        if count:
+            name = str(table.next_batch())
+            if dead is not None:
+                dead.write(failed_messages(embedded), f"pending-{name}")
+            table.append(embedded_rows(embedded, now), name, order=OLDEST_FIRST)
+        return count
+    finally:
+        embedded.unpersist()
+        pending.unpersist()
+
+
+def retry_failed(
+    messages: DataFrame, table: KeyedTable, embed: Embed, now: Column, dead: DeadLetters
 ) -> int:
-    """One round of the poller, by hand: embed the oldest pending messages and give
-    their number."""
-    pending = unprocessed(messages, table.read(), batch_size).persist()
-    count = pending.count()
-    if count:
-        table.append(embed_messages(pending, embed, now), table.next_batch(), order=OLDEST_FIRST)
-    pending.unpersist()
-    return count
+    """Embed once more the messages that were set aside and are still without an embedding."""
+    aside = dead.read(messages.sparkSession).filter("reject_reason = 'embedding_failed'")
+    again = messages.join(aside.select(F.col("key").alias("id")), "id", "left_semi")
+    return process_pending(again, table, embed, now, None)
 
 
 def file_sink(path: str) -> Body:
