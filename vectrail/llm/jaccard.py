@@ -26,8 +26,7 @@ MINIMA = 8
 LIST_ROWS = 8192
 BROADCAST_ROWS = 1_000_000
 HUB_MEMBERS = 2000
-PARITY_BITS = 256
-PARITY_SIZE = 256  # sets up to this size carry the parities: larger ones differ in more elements than they can tell
+PARITY_BITS = (256, 8192)  # least and most classes; otherwise about two to four for each element
 _SALTS = np.random.default_rng(77).integers(1, 1 << 63, MINIMA, dtype=np.uint64)
 _BASE_SCHEMA = "id {id}, n long, node long, minima array<long>, part int, counts binary"
 
@@ -94,17 +93,44 @@ def overlap_needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _parities(hashes: np.ndarray) -> bytes:
-    """For each of 256 classes of elements whether the set has an odd number of them.
+    """For each class of elements whether the set has an odd number of them.
 
     Two sets whose parities disagree in d classes differ in d elements at least.
     """
-    return np.packbits(np.bincount((hashes & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes()
+    classes = min(PARITY_BITS[1], max(PARITY_BITS[0], 1 << (2 * len(hashes)).bit_length()))
+    odd = np.bincount((hashes & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd).tobytes()
+
+
+class _Apart:
+    """Lower bounds of the differences between the sets of a list, from their parities."""
+
+    def __init__(self, raw: list):
+        self.width = np.array([len(b) // 8 if b else 0 for b in raw])
+        self.place, self.full, self.half = np.zeros(len(raw), np.int64), {}, {}
+        for w in set(self.width.tolist()) - {0}:
+            rows = np.flatnonzero(self.width == w)
+            self.place[rows] = np.arange(len(rows))
+            self.full[w] = np.frombuffer(b"".join(raw[i] for i in rows), np.uint64).reshape(len(rows), w)
+            self.half[w] = self.full[w][:, : w // 2] ^ self.full[w][:, w // 2 :]  # as for half as many classes
+
+    def __call__(self, i: int, others: np.ndarray) -> np.ndarray:
+        out, w = np.zeros(len(others), np.int64), int(self.width[i])
+        if w:
+            own = self.full[w][self.place[i]]
+            for width, table in ((w, self.full), (2 * w, self.half)):
+                at = np.flatnonzero(self.width[others] == width)
+                if len(at):
+                    out[at] = np.bitwise_count(table[width][self.place[others[at]]] ^ own).sum(axis=1, dtype=np.int64)
+        return out
 
 
 def _lists(size: int, percent: int, bits: int, frequency, schema: pa.Schema):
     def run(batches):
         counts = frequency.value
-        limit = max(LIST_ROWS, 8 * int(counts.mean()))
+        mean = float(counts.mean())
+        limit = max(LIST_ROWS, 8 * int(mean))
+        line = mean + 6 * mean**0.5 + 8  # a shingle with more than this is in many sets: its list is long
         seen: set[int] = set()
         for batch in batches:
             out, parities = [[] for _ in range(6)], []
@@ -123,7 +149,7 @@ def _lists(size: int, percent: int, bits: int, frequency, schema: pa.Schema):
                 order = np.argsort(often, kind="stable")[:first]
                 place = np.flatnonzero(often[order] > 1)  # a shingle counted once is in no other set
                 order = order[place]
-                parity = _parities(hashes) if n <= PARITY_SIZE else None
+                parity = _parities(hashes) if (often[order] > line).any() else None
                 shares = np.maximum(1, -(-often[order].astype(np.int64) // limit))
                 token, comp = hashes[order].astype(np.int64), node if comps[row] is None else comps[row]
                 for share in np.unique(shares):
@@ -132,7 +158,7 @@ def _lists(size: int, percent: int, bits: int, frequency, schema: pa.Schema):
                     for other in range(int(share)):
                         pair = min(own, other) * int(share) + max(own, other)
                         k = int(at.sum())
-                        parities += [parity] * k
+                        parities += [parity if x > line else None for x in often[order[at]]]
                         for values, column in zip(out, (token[at], np.full(k, pair), np.full(k, n), place[at], np.full(k, node), np.full(k, comp))):
                             values.append(column)
             if out[0]:
@@ -156,9 +182,7 @@ def _candidates(percent: int):
                 lo, hi = bounds[g], bounds[g + 1]
                 if (comp[lo:hi] == comp[lo]).all():
                     continue
-                held_bits = table.column("bits").slice(lo, hi - lo).to_pylist()
-                has = np.array([b is not None for b in held_bits])
-                bits = np.frombuffer(b"".join(b or bytes(PARITY_BITS // 8) for b in held_bits), np.uint64).reshape(hi - lo, -1)
+                bound = _Apart(table.column("bits").slice(lo, hi - lo).to_pylist())
                 for i in range(lo, hi - 1):  # sorted by size: skip to the block of sizes in reach
                     end = lo + int(np.searchsorted(n[lo:hi], 100 * n[i] // percent, "right"))
                     if end <= i + 1:
@@ -169,8 +193,7 @@ def _candidates(percent: int):
                         continue
                     most = np.minimum(n[i] - place[i], n[others] - place[others])
                     needed = overlap_needed(n[i], n[others], percent)
-                    apart = np.bitwise_count(bits[others - lo] ^ bits[i - lo]).sum(axis=1, dtype=np.int64)
-                    apart[~(has[others - lo] & has[i - lo])] = 0
+                    apart = bound(i - lo, others - lo)
                     others = others[(most >= needed) & (apart <= n[i] + n[others] - 2 * needed)]
                     if len(others):
                         found_a.append(np.minimum(node[i], node[others])), found_b.append(np.maximum(node[i], node[others]))
