@@ -130,7 +130,7 @@ def _lists(size: int, percent: int, bits: int, frequency, schema: pa.Schema):
         counts = frequency.value
         mean = float(counts.mean())
         limit = max(LIST_ROWS, 8 * int(mean))
-        line = mean + 6 * mean**0.5 + 8  # a shingle with more than this is in many sets: its list is long
+        line = mean + 2 * mean**0.5 + 2  # a shingle with more than this may be in many sets
         seen: set[int] = set()
         for batch in batches:
             out, parities = [[] for _ in range(6)], []
