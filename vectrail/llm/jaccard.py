@@ -7,7 +7,8 @@
 3. Index lists: a shingle among the first of a set (rarest first) lists the set with its size and
    position. Blocks of a list that size or position rule out are skipped, and so is every pair whose
    sets the answers at hand already connect, or whose element parities show that they differ too
-   much. What is left is compared exactly.
+   much. A pair that shares a shingle just before is left to that shingle's list. What remains is
+   compared exactly.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ LIST_ROWS = 8192
 BROADCAST_ROWS = 1_000_000
 HUB_MEMBERS = 2000
 PARITY_BITS = (256, 8192)  # least and most classes; otherwise about two to four for each element
+BEFORE = 8  # shingles listed just before that go with an entry of a long list
 _SALTS = np.random.default_rng(77).integers(1, 1 << 63, MINIMA, dtype=np.uint64)
 _BASE_SCHEMA = "id {id}, n long, node long, minima array<long>, part int, counts binary"
 
@@ -102,6 +104,21 @@ def _parities(hashes: np.ndarray) -> bytes:
     return np.packbits(odd).tobytes()
 
 
+def _before(tokens: np.ndarray, node: int) -> np.ndarray:
+    """For each listed shingle of a set the ``BEFORE`` shingles listed before it, filled up with the node."""
+    padded = np.concatenate((np.full(BEFORE, node, np.int64), tokens))
+    return np.lib.stride_tricks.sliding_window_view(padded, BEFORE)[: len(tokens)]
+
+
+def _listed_before(raw: list, nodes: np.ndarray) -> np.ndarray:
+    """The shingles before each entry of a list; an entry without them has only its node, which no other set has."""
+    out = np.repeat(nodes[:, None], BEFORE, axis=1)
+    for row, tokens in enumerate(raw):
+        if tokens is not None:
+            out[row] = np.frombuffer(tokens, np.int64)
+    return out
+
+
 class _Apart:
     """Lower bounds of the differences between the sets of a list, from their parities."""
 
@@ -133,7 +150,7 @@ def _lists(size: int, percent: int, bits: int, frequency, schema: pa.Schema):
         line = mean + 2 * mean**0.5 + 2  # a shingle with more than this may be in many sets
         seen: set[int] = set()
         for batch in batches:
-            out, parities = [[] for _ in range(6)], []
+            out, parities, earlier = [[] for _ in range(6)], [], []
             comps = batch.column("comp").to_pylist()
             for row, hashes in blocks.shingle_sets(batch.column("text"), size):
                 n = len(hashes)
@@ -152,24 +169,31 @@ def _lists(size: int, percent: int, bits: int, frequency, schema: pa.Schema):
                 parity = _parities(hashes) if (often[order] > line).any() else None
                 shares = np.maximum(1, -(-often[order].astype(np.int64) // limit))
                 token, comp = hashes[order].astype(np.int64), node if comps[row] is None else comps[row]
+                before = _before(token, node)
                 for share in np.unique(shares):
                     at = shares == share
                     own = (node & 0x7FFFFFFF) % int(share)
                     for other in range(int(share)):
                         pair = min(own, other) * int(share) + max(own, other)
                         k = int(at.sum())
-                        parities += [parity if x > line else None for x in often[order[at]]]
+                        long = often[order[at]] > line
+                        parities += [parity if x else None for x in long]
+                        earlier += [b.tobytes() if x else None for x, b in zip(long, before[at])]
                         for values, column in zip(out, (token[at], np.full(k, pair), np.full(k, n), place[at], np.full(k, node), np.full(k, comp))):
                             values.append(column)
             if out[0]:
                 arrays = [pa.array(np.concatenate(c).astype(f.type.to_pandas_dtype())) for c, f in zip(out, schema)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(parities, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(parities, pa.binary()), pa.array(earlier, pa.binary())], schema=schema)
 
     return run
 
 
 def _candidates(percent: int):
-    """Pairs of a list that size, position and known answers leave over, once per task."""
+    """Pairs of a list that size, position and known answers leave over.
+
+    The first shingle that two sets both list comes nowhere else before, and its bounds are the
+    loosest, so a pair is never lost by leaving it to a shingle that both list earlier.
+    """
 
     def run(batches):
         for table in blocks.sorted_groups(batches, ["token", "pair"]):
@@ -183,6 +207,7 @@ def _candidates(percent: int):
                 if (comp[lo:hi] == comp[lo]).all():
                     continue
                 bound = _Apart(table.column("bits").slice(lo, hi - lo).to_pylist())
+                before = _listed_before(table.column("before").slice(lo, hi - lo).to_pylist(), node[lo:hi])
                 for i in range(lo, hi - 1):  # sorted by size: skip to the block of sizes in reach
                     end = lo + int(np.searchsorted(n[lo:hi], 100 * n[i] // percent, "right"))
                     if end <= i + 1:
@@ -195,6 +220,8 @@ def _candidates(percent: int):
                     needed = overlap_needed(n[i], n[others], percent)
                     apart = bound(i - lo, others - lo)
                     others = others[(most >= needed) & (apart <= n[i] + n[others] - 2 * needed)]
+                    known = (before[others - lo][:, :, None] == before[i - lo]).any(axis=(1, 2))
+                    others = others[~known]
                     if len(others):
                         found_a.append(np.minimum(node[i], node[others])), found_b.append(np.maximum(node[i], node[others]))
                         held += len(others)
@@ -340,8 +367,8 @@ def similar_groups(
     marks = stored(marks.groupBy("id").agg(F.max("root").alias("comp"), F.max(F.col("id").eqNullSafe(F.col("rep")).cast("int")).alias("keep"), F.count("*").alias("rows")), "marks")
     listed = _with_few(texts, marks, "id", "left").where("keep is null or keep = 1 or rows > 1")
     listed = listed.select("text", F.when(F.col("rows") > 1, None).otherwise(F.col("comp")).alias("comp"))
-    list_schema = pa.schema([("token", pa.int64()), ("pair", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("node", pa.int64()), ("comp", pa.int64()), ("bits", pa.binary())])
-    lists = listed.mapInArrow(_lists(size, percent, bits, held, list_schema), "token long, pair int, n int, place int, node long, comp long, bits binary")
+    list_schema = pa.schema([("token", pa.int64()), ("pair", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("node", pa.int64()), ("comp", pa.int64()), ("bits", pa.binary()), ("before", pa.binary())])
+    lists = listed.mapInArrow(_lists(size, percent, bits, held, list_schema), "token long, pair int, n int, place int, node long, comp long, bits binary, before binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists = lists.repartition(tasks, "token", "pair").sortWithinPartitions("token", "pair", "n")
     pairs = lists.mapInArrow(_candidates(percent), "a long, b long").distinct()
