@@ -174,8 +174,10 @@ def test_catalog(spark, folder):
     assert [r.table_name for r in listed] == ["first", "second"]
     assert listed[1].model_name == "m2" and listed[1].created_at == listed[0].created_at
 
-    catalog.insert("second", inserted(spark, ("a", "x", [1.0, 2.0, 3.0], "s"), ("b", "", [1.0, 2.0, 3.0], "s")), early)
-    catalog.insert("second", inserted(spark, ("a", "y", [3.0, 2.0, 1.0], None), ("c", "z", [1.0], "s")), late)
+    refused = catalog.insert("second", inserted(spark, ("a", "x", [1.0, 2.0, 3.0], "s"), ("b", "", [1.0, 2.0, 3.0], "s")), early)
+    assert [(r.id, r.reject_reason) for r in refused.collect()] == [("b", "missing_text")]
+    refused = catalog.insert("second", inserted(spark, ("a", "y", [3.0, 2.0, 1.0], None), ("c", "z", [1.0], "s")), late)
+    assert [(r.id, r.reject_reason) for r in refused.collect()] == [("c", "wrong_dimension")]
     info = catalog.info("second")
     assert info["row_count"] == 1 and info["vector_dimension"] == 3
     sample = info["sample_data"]

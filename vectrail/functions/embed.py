@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -96,6 +99,22 @@ def _encode_rows(encode: Encoder, texts: list[str]) -> tuple[list, list]:
         return vectors, errors
 
 
+# Models that a worker process keeps between tasks, the least recently used going first.
+MODELS_HELD = 4
+_held_models: OrderedDict[tuple[str, str], Encoder] = OrderedDict()
+
+
+def _held_model(loader: str, name: str, load_model: Callable[[str], Encoder]) -> Encoder:
+    """The model of that name, loaded once per worker process; ``loader`` tells loaders apart."""
+    if (loader, name) not in _held_models:
+        encoder = load_model(name)
+        while len(_held_models) >= MODELS_HELD:
+            _held_models.popitem(last=False)
+        _held_models[loader, name] = encoder
+    _held_models.move_to_end((loader, name))
+    return _held_models[loader, name]
+
+
 def embed_by_model(
     df: DataFrame,
     load_model: Callable[[str], Encoder],
@@ -107,8 +126,9 @@ def embed_by_model(
     """Embed each row with the model it names, or the default one.
 
     Adds ``embedding``, ``model_name`` and ``embed_error`` (null when it worked). Models
-    are kept by name for the life of the task. Rows stay where they are: grouping them
-    by model would put the most popular model's rows into one task.
+    are kept by name in the worker process, ``MODELS_HELD`` at most, also between tasks.
+    Rows stay where they are: grouping them by model would put the most popular model's
+    rows into one task.
     """
     schema = T.StructType(
         [f for f in df.schema.fields if f.name not in ("embedding", "model_name", "embed_error")]
@@ -119,8 +139,9 @@ def embed_by_model(
         ]
     )
 
+    loader = hashlib.md5(cloudpickle.dumps(load_model)).hexdigest()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loaded: dict[str, Encoder] = {}
         for batch in batches:
             for begin in range(0, len(batch), batch_rows):
                 part = batch.iloc[begin : begin + batch_rows].reset_index(drop=True)
@@ -130,9 +151,8 @@ def embed_by_model(
                 errors: list = [None] * len(part)
                 for name, rows in part.groupby(names).groups.items():
                     try:
-                        if name not in loaded:
-                            loaded[name] = load_model(name)
-                        got, failed = _encode_rows(loaded[name], part.loc[rows, text].tolist())
+                        encoder = _held_model(loader, name, load_model)
+                        got, failed = _encode_rows(encoder, part.loc[rows, text].tolist())
                     except Exception as error:
                         got, failed = [None] * len(rows), [str(error)] * len(rows)
                     for row, vector, problem in zip(rows, got, failed):
@@ -164,8 +184,6 @@ def remote_encoder(post: Callable[[dict], tuple[int, dict]]) -> Encoder:
 
 def hash_encoder(dim: int = 384) -> Encoder:
     """E3 as a plug-in encoder, giving the same vectors as :func:`embed_hash`."""
-    import hashlib
-
     first, second = (np.array(m, dtype=np.int64) for m in jump_multipliers(dim))
 
     def encode(texts: Sequence[str]) -> np.ndarray:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fs
+from ..functions.messages import good, rejected, with_reject_reason
 from ..schemas import EMBEDDINGS, MANAGED, REGISTRY
 from .keyed import adaptive_rows
 from .tables import KeyedTable
@@ -72,13 +73,22 @@ class Catalog:
             raise KeyError(name)
         return entry.asDict()
 
-    def insert(self, name: str, rows: DataFrame, now: Column, order: list[str] | None = None) -> None:
-        """Upsert rows into a managed table; vectors of another dimension are refused."""
+    def insert(self, name: str, rows: DataFrame, now: Column, order: list[str] | None = None) -> DataFrame:
+        """Upsert rows into a managed table. Gives the rows refused, each with its
+        ``reject_reason``: no id, no text, or a vector of another dimension."""
         dimension = self._entry(name)["vector_dimension"]
-        shaped = adaptive_rows(rows, MANAGED.fieldNames(), dimension, now)
-        fitting = shaped.filter(F.col("embedding").isNull() | (F.size("embedding") == dimension))
+        judged = with_reject_reason(
+            rows,
+            {
+                "missing_id": F.coalesce("id", F.lit("")) == "",
+                "missing_text": F.coalesce("text", F.lit("")) == "",
+                "wrong_dimension": F.col("embedding").isNotNull() & (F.size("embedding") != dimension),
+            },
+        )
+        shaped = adaptive_rows(good(judged), MANAGED.fieldNames(), dimension, now)
         table = self.table(name)
-        table.append(fitting, table.next_batch(), order=order or ["updated_at", "original_text"])
+        table.append(shaped, table.next_batch(), order=order or ["updated_at", "original_text"])
+        return rejected(judged)
 
     def info(self, name: str) -> dict:
         """M4: registry entry, row count and one sample row."""
