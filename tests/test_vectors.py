@@ -178,3 +178,21 @@ def test_clustered_search_reads_only_probed_lists(spark, folder):
     index = ann.build_index(source, f"{folder}/index", "vec_id", lists=8)
     found = index.search(source.first().embedding, 5, probes=2)
     assert "PartitionFilters: [list_id" in found._jdf.queryExecution().toString()
+
+
+def test_models_are_held_up_to_a_bound(monkeypatch):
+    monkeypatch.setattr(e, "_held_models", e.OrderedDict())
+    loads = []
+
+    def load(name):
+        loads.append(name)
+        return lambda texts: np.zeros((len(texts), 1))
+
+    for name in ["a", "a", "b", "a"]:
+        e._held_model("x", name, load)
+    assert loads == ["a", "b"]
+    for name in ["c", "d", "f"]:  # "b" was used longest ago and goes
+        e._held_model("x", name, load)
+    assert len(e._held_models) == e.MODELS_HELD and ("x", "b") not in e._held_models
+    e._held_model("y", "a", load)  # another loader's model of the same name
+    assert loads == ["a", "b", "c", "d", "f", "a"]
