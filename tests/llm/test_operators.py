@@ -274,6 +274,19 @@ def test_automaton_matches_brute_force(spark, rows):
     assert automaton.score_texts(frame.where("false")).count() == 0
 
 
+def test_automaton_keeps_rare_histories_of_large_inputs(spark):
+    rows = [(1, "x " * 400_000), (2, "rare pair"), (3, "rare pair"), (4, "rare other")]
+    got = {r.doc_id: r for r in automaton.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n, v = 400_000 + 6 + 4, 5
+    root = {w: (c + 1) / (n + v + 1) for w, c in (("rare", 3), ("pair", 2), ("end", 4))}
+    d = automaton.DISCOUNT
+    after_end = (3 - d) / 4 + (1 - (3 - d) / 4) * root["rare"]
+    after_rare = (2 - d) / 3 + (1 - (2 - d) / 3) * root["pair"]
+    after_pair = (2 - d) / 2 + (1 - (2 - d) / 2) * root["end"]
+    assert got[2].train_tokens == n
+    assert got[2].score == pytest.approx(float(np.log10(after_end * after_rare * after_pair)))
+
+
 def vectors(spark, dim=64):
     rng = np.random.default_rng(6)
     out = []
