@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,6 +232,24 @@ def test_leaks_match_brute_force(spark):
     assert contamination.find_leaks(frame.where("false"), bench).count() == 0
 
 
+def test_leaks_at_the_ends_of_texts(spark):
+    words = [f"w{i}" for i in range(25)]
+    fewer = [w for i, w in enumerate(words) if i not in (1, 2)]
+    rest = [f"r{i}" for i in range(40)]
+    backward = [w for i, w in enumerate(words) if i not in (22, 23)]
+    texts = [(1, " ".join(fewer + rest)), (2, " ".join(rest + backward)), (3, " ".join(rest)), (None, " ".join(fewer + rest))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    found = contamination.find_leaks(frame, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"))
+
+    def best(text):
+        own, split = {tuple(words[i : i + 5]) for i in range(21)}, text.split()
+        other = [[tuple(w[i : i + 5]) for i in range(len(w) - 4)] for s in range(-24, len(split)) if (w := split[max(s, 0) : s + 25])]
+        return max(len(own & set(o)) / len(own | set(o)) for o in other)
+
+    want = {d: best(t) for d, t in texts if best(t) >= 0.8}
+    assert set(want) >= {None} and {r.doc_id: r.similarity for r in found.collect()} == pytest.approx(want)
+
+
 def test_lossless_stride():
     assert contamination.lossless_stride([1]) == 1 and contamination.lossless_stride([4]) == 2
     assert contamination.lossless_stride([9, 40, 400]) == 3

@@ -2,7 +2,7 @@
 
 Built-in functions only. A window as long as a benchmark item is laid wherever a document shares a
 shingle with it, so that the shingle lies at the same word of both; a window that shares none has
-similarity 0. Its 64-bit SimHash is cut into ``RADIUS + 1`` blocks: fingerprints at most ``RADIUS``
+similarity 0. Near the ends of a text, all windows that the end cuts are laid too. Its 64-bit SimHash is cut into ``RADIUS + 1`` blocks: fingerprints at most ``RADIUS``
 bits apart agree in a block, so joining block by block finds them all. Pairs within the radius are
 compared by the weighted Jaccard similarity of their shingles, the weight being the multiplicity.
 """
@@ -153,12 +153,26 @@ def find_leaks(
     laid = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["place_id"]))
 
     def lay(words):
-        def one(p):
-            first = F.greatest(p["start"], F.lit(1))
-            length = F.least(p["start"] + p["m"] - 1, F.size(words)) - first + 1
-            return F.struct(p["item_id"].alias("item_id"), first.alias("first"), shingles(F.slice(words, first, length)).alias("shingles"))
-
-        return F.transform(F.col("places"), one)
+        none = F.array().cast("array<int>")
+
+        def starts(p):
+            # Windows that an end of the text cuts are laid wherever they can still reach ``percent``.
+            spare = F.floor((p["m"] - WORDS + 1) * (100 - percent) / 100).cast("int")
+            last = F.size(words) - p["m"] + 1
+            at_start = F.when((spare > 0) & (p["start"] <= p["m"]), F.sequence(1 - spare, F.lit(0))).otherwise(none)
+            at_end = F.when((spare > 0) & (p["start"] + p["m"] > last), F.sequence(last + 1, last + spare)).otherwise(none)
+            return F.concat(F.array(p["start"]), at_start, at_end)
+
+        def cut(p, start):
+            first = F.greatest(start, F.lit(1))
+            length = F.least(start + p["m"] - 1, F.size(words)) - first + 1
+            return F.struct(p["item_id"].alias("item_id"), first.alias("first"), length.alias("length"))
+
+        def one(w):
+            return F.struct(w["item_id"].alias("item_id"), w["first"].alias("first"), shingles(F.slice(words, w["first"], w["length"])).alias("shingles"))
+
+        cuts = F.flatten(F.transform(F.col("places"), lambda p: F.transform(starts(p), lambda start: cut(p, start))))
+        return F.transform(F.array_distinct(F.filter(cuts, lambda w: w["length"] > 0)), one)
 
     laid = laid.select("doc_id", F.explode(bound(words_of(F.col("text")), lay)).alias("w")).select("doc_id", "w.*")
     laid = laid.withColumn("content", F.sha2(F.array_join(F.col("shingles").cast("array<string>"), " "), 256))
