@@ -345,6 +345,25 @@ def test_cap_filters_against_all_pairs(spark, monkeypatch, bucket):
     assert got[0].n_links >= 3 and all((r.component_id == r.vec_id) == r.kept for r in got.values())
 
 
+@pytest.mark.parametrize("dim", [64, 128, 384, 768])
+def test_cap_filters_recall_in_many_components(dim):
+    rng = np.random.default_rng(dim)
+    x, y = rng.normal(size=(2, 200, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    schema = pa.schema([("rep", pa.int64()), ("label", pa.int64()), ("filter", pa.int64())])
+    reps = np.arange(400)
+    batch = pa.RecordBatch.from_arrays([pa.array(reps), pa.array(reps), pa.array([*x.tolist(), *y.tolist()])], names=["rep", "label", "vector"])
+    held = [set() for _ in reps]
+    for out in capfilters._filters(None, schema)([batch]):
+        for rep, found in zip(out.column("rep").to_pylist(), out.column("filter").to_pylist()):
+            held[rep].add(found)
+    recall = np.mean([bool(held[i] & held[i + 200]) for i in range(200)])
+    print(dim, recall, np.mean([len(h) for h in held]))
+    assert recall >= 0.95
+
+
 def test_urls(spark):
     rules = urls.rules_frame(spark, [("org", "/", "allow"), ("example.org", "/es/", "block"), ("Example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), (None, "/", "block")])
     cases = {

@@ -21,13 +21,19 @@ from .scratch import stored
 
 BLOCKS = 2
 CODE = 128
-CAP = 0.42
+CAP = 0.42  # up to CAP_DIM components; beyond it shrinks as inner products of random directions do
+CAP_DIM = 64
 TABLES = 6  # independent codes; a vector whose blocks are uneven in one is rarely so in all
 SIMILARITY = 0.93
 BUCKET_ROWS = 1024
 SEED = 20
 
 
+def cap_of(dim: int) -> float:
+    """The cap that leaves a random vector of any size as many filters as one of ``CAP_DIM`` components."""
+    return CAP * min(1.0, (CAP_DIM / dim) ** 0.5)
+
+
 class ProductCode:
     """``CODE ** BLOCKS`` unit directions after the ``table``-th random rotation of ``dim`` components."""
 
@@ -83,7 +89,7 @@ def _units(batches):
         )
 
 
-def _filters(cap: float, schema: pa.Schema):
+def _filters(cap: float | None, schema: pa.Schema):
     def run(batches):
         codes: dict[tuple[int, int], ProductCode] = {}
         for batch in batches:
@@ -97,7 +103,7 @@ def _filters(cap: float, schema: pa.Schema):
                 for k in range(TABLES):
                     if (int(dim), k) not in codes:
                         codes[int(dim), k] = ProductCode(int(dim), k)
-                    for row, ids in zip(at, codes[int(dim), k].decode(units, cap)):
+                    for row, ids in zip(at, codes[int(dim), k].decode(units, cap_of(int(dim)) if cap is None else cap)):
                         rows.append(np.full(len(ids), row)), found.append(ids)
             rows, found = np.concatenate(rows), np.concatenate(found)
             take = pa.array(rows)
@@ -174,7 +180,7 @@ def near_vectors(
     vector_col: str = "embedding",
     label_col: str | None = "label",
     similarity: float = SIMILARITY,
-    cap: float = CAP,
+    cap: float | None = None,
 ) -> DataFrame:
     """One row per row of ``vectors``: ``id_col, n_links, component_id, kept``.
 
