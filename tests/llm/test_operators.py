@@ -364,6 +364,13 @@ def test_cap_filters_recall_in_many_components(dim):
     assert recall >= 0.95
 
 
+def test_urls_with_long_rule_paths(spark):
+    long = "/" + "x" * 3000
+    rules = urls.rules_frame(spark, [("org", "/", "allow"), ("org", long, "block")])
+    pages = spark.createDataFrame([(1, f"http://a.org{long}/y"), (2, f"http://a.org{long[:-1]}")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.judge_urls(pages, rules).collect()} == {1: "block", 2: "allow"}
+
+
 def test_urls(spark):
     rules = urls.rules_frame(spark, [("org", "/", "allow"), ("example.org", "/es/", "block"), ("Example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), (None, "/", "block")])
     cases = {

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREFIX_HEX = 8  # hex digits of a digest that make the short prefix: 4 bytes
-MAX_RULE_PATH = 2048
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -59,7 +58,7 @@ def judge_urls(
     """
     usable = rules.select(F.lower("host").alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict"))
     usable = usable.where("r_host is not null and r_path is not null and r_verdict is not null").distinct()
-    lengths = [r.n for r in usable.where(F.length("r_path") <= MAX_RULE_PATH).select(F.length("r_path").alias("n")).distinct().collect()]
+    lengths = [r.n for r in usable.select(F.length("r_path").alias("n")).distinct().collect()]
     keyed = usable.withColumn("r_rule", F.concat("r_host", "r_path")).withColumn("r_digest", digest(F.col("r_rule")))
     keyed = keyed.withColumn("prefix", F.substring("r_digest", 1, PREFIX_HEX))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
