@@ -417,6 +417,13 @@ def test_languages(spark):
     assert {r.lang_pred for r in language.predict_languages(frame, empty).collect()} == {"und"}
 
 
+def test_quality_learns_from_all_blocks_of_long_texts():
+    text = "".join(f"{i:08d}" for i in range(5000))
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([1], pa.int32())], names=["text", "label"])
+    found = [b for out in quality._sampled_blocks([batch]) for b in out.column("block").to_pylist()]
+    assert b"".join(found) == text.encode()
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = [prose(rng, rng.randint(20, 200)) for _ in range(150)]

@@ -20,7 +20,6 @@ from .scratch import stored
 
 DICT_ROWS = 1_500  # labelled rows per class whose blocks build a dictionary
 FIT_ROWS = 4_000  # labelled rows per class that fit the curve
-BLOCKS_PER_ROW = 16
 DICT_BYTES = 112_640
 BLOCK = 512
 LEVEL = 3
@@ -60,14 +59,13 @@ def _probability(features, curve) -> float:
 
 
 def _sampled_blocks(batches):
-    """Blocks spread evenly over each whole text."""
+    """All blocks of each text."""
     for batch in batches:
         labels, found = [], []
         for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
             raw = (text.as_py() or "").encode()
-            n = -(-len(raw) // BLOCK)
-            for k in sorted({i * n // BLOCKS_PER_ROW for i in range(BLOCKS_PER_ROW)} if n else ()):
-                labels.append(label), found.append(raw[k * BLOCK : (k + 1) * BLOCK])
+            for at in range(0, len(raw), BLOCK):
+                labels.append(label), found.append(raw[at : at + BLOCK])
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(found, pa.binary())], names=["label", "block"])
 
 
