@@ -26,18 +26,26 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return done.select(*docs.columns)
 
 
+def row_key():
+    """A row's document: rows of the same id and text are repeated rows; ids may be null or shared by several texts."""
+    return F.xxhash64("doc_id", "text")
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of similar ones; repeated rows of it go too."""
-    groups = jaccard.similar_groups(docs)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The document with the smallest id of every group of similar ones, null ids last; repeated rows of it go too."""
+    keyed = docs.withColumn("row_key", row_key())
+    groups = jaccard.similar_groups(keyed, "row_key").select("row_key", "component_id").distinct()
+    members = groups.join(keyed.select("row_key", "doc_id").distinct(), "row_key")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    first = members.groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_key")
+    return keyed.join(first, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    leaks = contamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("row_key", row_key())
+    leaks = contamination.find_leaks(keyed, table(spark, sf_dir, "benchmark"), "row_key")
+    return keyed.join(leaks.select("row_key").distinct(), "row_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

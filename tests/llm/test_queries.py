@@ -28,6 +28,17 @@ def test_other_queries_cover_their_table(spark, name):
         assert {r.doc_id for r in found.select("doc_id").collect()} == ids
 
 
+def test_stages_tell_rows_of_null_or_shared_ids_apart(spark):
+    texts = [" ".join(f"t{k}w{i}" for i in range(30)) for k in range(4)]
+    rows = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[3]), (None, texts[1])]
+    item = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").where("length(text) > 100").first().text
+    docs = spark.createDataFrame([*rows, (None, item)], "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, SF_DIR)
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, texts[0]), (0, texts[1]), (5, texts[2]), (5, texts[3]), (0, item)])
+    clean = corpus_pipeline.drop_leaks(spark, docs, SF_DIR)
+    assert sorted((r.doc_id or 0, r.text) for r in clean.collect()) == sorted((i or 0, t) for i, t in rows)
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     columns, before = docs.columns, docs.count()
