@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import automaton, capfilters, contamination, jaccard, language, lines, packing, quality, substrings, urls
+from . import automaton, capfilters, contamination, jaccard, language, licenses, lines, packing, quality, substrings, trie, urls, whitening
 from .registry import QUERIES, SQL, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -171,3 +171,68 @@ def op9_decontamination(spark, sf_dir):
 def op10_backoff_automaton(spark, sf_dir):
     """Every document's log-probability, learned from six sevenths of them."""
     return automaton.score_texts(table(spark, sf_dir, "documents"), trainable=fold(7) != 2)
+
+
+@query()
+def op11_license_rules(spark, sf_dir):
+    """Every document's license phrases and the labels of all rules that hold."""
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("detections", lambda d: d["always"])
+    starts = F.transform(base, lambda d: d["first_word"])
+    joined = lambda some: F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda d: d["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.filter("detections", lambda d: d["label"] != "")).alias("labels"),
+        "score",
+    )
+
+
+@query()
+def op12_lanczos_whitening(spark, sf_dir):
+    """Every usable embedding on the first 32 whitened components."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query(r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+         coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+lengths AS (SELECT conv_id, count(*) AS n FROM turns GROUP BY conv_id),
+folds AS (
+  SELECT conv_id AS c, conv_id - conv_id % 100 AS b,
+         xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+               lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+             lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, (r & 1) * 3988292384) END), 4294967295) % 6 AS h
+  FROM lengths),
+known AS (SELECT f.*, least(h, coalesce(n, 0)) AS a FROM folds f LEFT JOIN lengths ON conv_id = b),
+rebuilt AS (
+  SELECT c, pos AS d, role, text FROM known JOIN turns ON conv_id = b AND pos <= h
+  UNION ALL SELECT c, a + pos - h, role, text FROM known JOIN turns ON conv_id = c AND pos > h),
+members AS (
+  SELECT c, d, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS key,
+         length(text) AS n_chars FROM rebuilt
+  UNION ALL SELECT c, 0, '', 0 FROM known),
+nodes AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, min(n_chars) AS n_chars FROM members GROUP BY d, key),
+families AS (SELECT d - 1 AS d, left(key, 64 * (d - 1)) AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN families USING (d, key)),
+lines AS (SELECT *, unnest(range(0, CAST(d AS INT) + 1)) AS up FROM counted),
+subtrees AS (
+  SELECT up AS d, left(key, 64 * up) AS key, count(*) FILTER (n_children = 0) AS n_leaves,
+         CAST(sum((n_convs - 1) * n_chars) AS BIGINT) AS saved_tokens
+  FROM lines GROUP BY 1, 2),
+lasts AS (SELECT c, max(d) AS d, max_by(key, d) AS key FROM members GROUP BY c),
+ends AS (SELECT d, key, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS sha FROM lasts GROUP BY d, key)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens,
+       coalesce(sha, sha256('')) AS ends_sha256
+FROM counted n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.key = left(n.key, 64 * (n.d - 1))
+JOIN subtrees s ON s.d = n.d AND s.key = n.key LEFT JOIN ends e ON e.d = n.d AND e.key = n.key""")
+def op13_prefix_trie(spark, sf_dir):
+    """Every node of the trie over the rebuilt conversations."""
+    return trie.conversation_trie(table(spark, sf_dir, "conversations")).drop("enter_at", "leave_at")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..fs import size_bytes
-from ..session import new_scratch
+from ..fs import remove, size_bytes
+from ..session import new_scratch, scratch_root
+
 
 def stored(df: DataFrame, label: str, *, buckets: str | None = None) -> DataFrame:
     """The rows of ``df``, computed once."""
@@ -15,7 +16,20 @@ def stored(df: DataFrame, label: str, *, buckets: str | None = None) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _folder(df: DataFrame) -> str | None:
+    files = df.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else None
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes on disk behind a table that ``stored`` gave; 0 if it has no rows."""
-    files = df.inputFiles()
-    return size_bytes(df.sparkSession, files[0].rsplit("/", 1)[0]) if files else 0
+    folder = _folder(df)
+    return size_bytes(df.sparkSession, folder) if folder else 0
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` gave, once nothing that is still to be computed reads them."""
+    for df in tables:
+        folder = _folder(df)
+        if folder and folder.rsplit("/", 2)[0].endswith(scratch_root(df.sparkSession).split(":")[-1]):
+            remove(df.sparkSession, folder)
