@@ -196,7 +196,10 @@ def near_vectors(
     node with a count. Pairs are counted inside tasks, not written; buckets of more than
     ``BUCKET_ROWS`` vectors are split into pairs of shares. Filters with a single vector never move one.
     """
-    label = F.col(label_col).cast("long") if label_col else F.lit(0).cast("long")
+    label = F.lit(0).cast("long")
+    if label_col:
+        whole = dict(vectors.dtypes)[label_col] in ("tinyint", "smallint", "int", "bigint")
+        label = F.col(label_col).cast("long") if whole else F.when(F.col(label_col).isNotNull(), F.xxhash64(label_col))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = stored(rows.mapInArrow(_units, "id long, label long, key binary, unit array<double>"), "units")
     nodes = rows.where("key is not null").groupBy("key").agg(

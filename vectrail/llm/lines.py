@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import new_scratch
+from .registry import free
 from .scratch import stored
 
 # Fixed value: what is stripped at both ends of a line.
@@ -140,8 +141,10 @@ def dedup_lines(
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
     batches: int = BATCHES,
+    lines_col: str = "n_lines",
+    dropped_col: str = "n_dropped",
 ) -> DataFrame:
-    """``docs`` with ``text_col`` rewritten and ``n_lines``, ``n_dropped`` added (replacing columns so named).
+    """``docs`` with ``text_col`` rewritten and ``lines_col``, ``dropped_col`` added (replacing columns so named).
 
     A line's key is the line stripped of ASCII white space at both ends, A-Z lowered. A key of at
     least ``min_chars`` code points that ``min_docs`` documents hold loses all its lines except in
@@ -154,7 +157,8 @@ def dedup_lines(
     key. Texts move once, to meet the list of their own dropped keys.
     """
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    kept = [c for c in docs.columns if c not in (lines_col, dropped_col)]
+    own_id, own_drops, own_cut = (free(kept, name) for name in ("own_id", "own_drops", "own_cut"))
     ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = ids.schema["id"].dataType
     schema = pa.schema([("id", to_arrow_type(id_type)), ("key", pa.binary())])
@@ -165,11 +169,11 @@ def dedup_lines(
         runs.add(rows.where(F.col("batch") == k).select("id", "key"))
     frequent = stored(runs.totals(min_docs), "line-totals")
     drops = rows.join(frequent, "key").where(~F.col("id").eqNullSafe(F.col("last_id")))
-    drops = drops.groupBy(F.col("id").alias("__id")).agg(F.collect_set("key").alias("__drops"))
-    joined = docs.select(*kept).join(drops, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    cut = joined.select(*kept, _cut(min_chars)(F.col(text_col), F.col("__drops")).alias("__cut"))
+    drops = drops.groupBy(F.col("id").alias(own_id)).agg(F.collect_set("key").alias(own_drops))
+    joined = docs.select(*kept).join(drops, F.col(id_col).eqNullSafe(F.col(own_id)), "left")
+    cut = joined.select(*kept, _cut(min_chars)(F.col(text_col), F.col(own_drops)).alias(own_cut))
     return cut.select(
-        *[F.col("__cut.text").alias(c) if c == text_col else c for c in kept],
-        F.col("__cut.n_lines").alias("n_lines"),
-        F.col("__cut.n_dropped").alias("n_dropped"),
+        *[F.col(f"{own_cut}.text").alias(c) if c == text_col else c for c in kept],
+        F.col(f"{own_cut}.n_lines").alias(lines_col),
+        F.col(f"{own_cut}.n_dropped").alias(dropped_col),
     )

@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences: bounded-space online best-fit.
 
 Every task keeps a fixed number of open sequences, in a bitset keyed by free space. A piece goes
-to the open sequence it fits best; when all are open and none fits, the fullest closes.
-What is open at the end of a task is packed again, as wholes, in a second and far smaller round.
+to the open sequence it fits best; when all are open and none fits, the fullest closes. Pieces are
+held back until their sequence closes. What is open at the end of a task is packed again, as wholes,
+in a second round; only these pieces ever meet the table that says where they went.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ SEQUENCE = 1024
 OPEN_BINS = 1024
 END_ID = 2
 LEFT_PER_TASK = 1 << 15
+ROWS_OUT = 4096
 
 
 class BestFit:
@@ -30,7 +32,8 @@ class BestFit:
     def __init__(self, capacity: int, most: int, first: int):
         self.capacity, self.most, self.next = capacity, most, first
         self.mask, self.count = 0, 0
-        self.bins: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.closed: list[int] = []
 
     def put(self, need: int) -> tuple[int, int]:
         """(bin, offset) for an item of 1 to ``capacity`` places."""
@@ -40,13 +43,15 @@ class BestFit:
             bin_id = self._take(free)
         else:
             if self.count == self.most:
-                self._take((self.mask & -self.mask).bit_length() - 1)
+                self.closed.append(self._take((self.mask & -self.mask).bit_length() - 1))
             bin_id, free = self.next, self.capacity
             self.next += 1
         if free > need:
             self.bins[free - need].append(bin_id)
             self.mask |= 1 << (free - need)
             self.count += 1
+        else:
+            self.closed.append(bin_id)
         return bin_id, self.capacity - free
 
     def _take(self, free: int) -> int:
@@ -70,48 +75,41 @@ def cuts(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(s, e - s) for s, e in zip(starts, starts[1:] + [length])]
 
 
-def _pieces(keys: list[str], text: str, tokenizer: str, ranks: str | None, end_id: int, capacity: int, most: int, schema: pa.Schema):
+def _pieces(tokenizer: str, ranks: str | None, end_id: int, capacity: int, most: int, schema: pa.Schema):
     def run(batches):
         encoder = tokens.PieceEncoder(tokenizer, ranks)
         packer = BestFit(capacity, most, TaskContext.get().partitionId() << 40)
+        held: dict[int, list[tuple]] = {}  # pieces of the open sequences: at most ``most`` times ``capacity`` ids
+        done: list[tuple] = []
         for batch in batches:
-            column = batch.column(text)
-            rows, place, start, length, ids, bins, offsets = [], [], [], [], [], [], []
-            for row, found in encoder.texts(column):
+            keys = batch.column("key").to_pylist()
+            for row, found in encoder.texts(batch.column("text")):
                 whole = np.append(found, np.uint32(end_id)).astype("<u4")
                 for k, (s, n) in enumerate(cuts(len(whole), capacity)):
                     bin_id, offset = packer.put(n)
-                    rows.append(row), place.append(k), start.append(s), length.append(n)
-                    ids.append(whole[s : s + n].tobytes()), bins.append(bin_id), offsets.append(offset)
-                if len(rows) >= 4096:
-                    yield _batch(batch, keys, rows, [place, start, length, ids, bins, offsets], schema)
-                    rows, place, start, length, ids, bins, offsets = [], [], [], [], [], [], []
-            if rows:
-                yield _batch(batch, keys, rows, [place, start, length, ids, bins, offsets], schema)
-        used = packer.open()
-        if used:
-            none = [pa.nulls(len(used), f.type) for f in schema]
-            columns = dict(zip(schema.names, none))
-            columns["bin"] = pa.array(used.keys(), pa.int64())
-            columns["open_used"] = pa.array(used.values(), pa.int32())
-            yield pa.RecordBatch.from_arrays([columns[n] for n in schema.names], schema=schema)
+                    held.setdefault(bin_id, []).append((keys[row], k, s, n, whole[s : s + n].tobytes(), bin_id, offset, False))
+                for bin_id in packer.closed:
+                    done += held.pop(bin_id)
+                packer.closed.clear()
+                if len(done) >= ROWS_OUT:
+                    yield _batch(done, schema)
+                    done = []
+        done += [(*piece[:-1], True) for pieces in held.values() for piece in pieces]
+        for i in range(0, len(done), ROWS_OUT):
+            yield _batch(done[i : i + ROWS_OUT], schema)
 
     return run
 
 
-def _batch(batch, keys, rows, columns, schema):
-    index = pa.array(rows)
-    arrays = [batch.column(k).take(index) for k in keys]
-    arrays += [pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(keys) : -1])]
-    arrays.append(pa.nulls(len(rows), pa.int32()))
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
+def _batch(pieces: list[tuple], schema: pa.Schema):
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pieces), schema)], schema=schema)
 
 
 def _repack(capacity: int, most: int):
     def run(batches):
         packer = BestFit(capacity, most, (1 << 62) + (TaskContext.get().partitionId() << 40))
         for batch in batches:
-            to = [packer.put(n) for n in batch.column("open_used").to_pylist()]
+            to = [packer.put(n) for n in batch.column("used").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("bin"), pa.array([b for b, _ in to], pa.int64()), pa.array([o for _, o in to], pa.int32())],
                 names=["bin", "to_bin", "shift"],
@@ -138,12 +136,12 @@ def pack(
     are packed once per row; a null id is passed on. No rows give no rows. Other columns are ignored,
     whatever their names. Offsets in a sequence leave no gap.
 
-    The tokens are computed once and stored. Nothing but the bins left open, at most ``open_bins`` a
-    task, is moved: they are packed again, ``LEFT_PER_TASK`` at a time.
+    The tokens are computed once and stored. Nothing but the pieces of sequences left open, at most
+    ``open_bins`` a task, is moved: they are packed again, ``LEFT_PER_TASK`` sequences at a time.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    ddl = f"key {source.schema['key'].dataType.simpleString()}, piece int, start long, length long, ids binary, bin long, offset long, open_used int"
+    ddl = f"key {source.schema['key'].dataType.simpleString()}, piece int, start long, length long, ids binary, bin long, offset long, open boolean"
     schema = pa.schema(
         [
             ("key", _arrow_type(source)),
@@ -153,26 +151,19 @@ def pack(
             ("ids", pa.binary()),
             ("bin", pa.int64()),
             ("offset", pa.int64()),
-            ("open_used", pa.int32()),
+            ("open", pa.bool_()),
         ]
     )
-    first = stored(
-        source.mapInArrow(_pieces(["key"], "text", tokenizer, ranks, end_id, capacity, open_bins, schema), ddl), "packed"
-    )
-    left = first.where("open_used is not null").select("bin", "open_used")
+    first = stored(source.mapInArrow(_pieces(tokenizer, ranks, end_id, capacity, open_bins, schema), ddl), "packed")
+    left = first.where("open").groupBy("bin").agg(F.sum("length").alias("used"))
+    left = stored(left, "left-open")
     tasks = max(1, -(-left.count() // LEFT_PER_TASK))
-    moved = left.repartition(tasks).sortWithinPartitions(F.desc("open_used"), "bin")
+    moved = left.repartition(tasks).sortWithinPartitions(F.desc("used"), "bin")
     moved = stored(moved.mapInArrow(_repack(capacity, open_bins), "bin long, to_bin long, shift int"), "repacked")
-    pieces = first.where("open_used is null").join(moved, "bin", "left")
-    return pieces.select(
-        F.col("key").alias(id_col),
-        "piece",
-        "start",
-        "length",
-        "ids",
-        F.coalesce("to_bin", "bin").alias("sequence_id"),
-        (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
-    )
+    placed = ["key", "piece", "start", "length", "ids"]
+    closed = first.where("not open").select(*placed, F.col("bin").alias("sequence_id"), "offset")
+    again = first.where("open").join(moved, "bin").select(*placed, F.col("to_bin").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"))
+    return closed.unionByName(again).withColumnRenamed("key", id_col)
 
 
 def _arrow_type(source: DataFrame):

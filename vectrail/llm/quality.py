@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .registry import free
 from .scratch import stored
 
 DICT_ROWS = 1_500  # labelled rows per class whose blocks build a dictionary
@@ -90,6 +91,12 @@ def _fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
     return (float(beta[0]), *map(float, beta[1:] / scale))
 
 
+def _constant(labels) -> QualityModel:
+    """For labels of one class or none: their share of good ones for every text."""
+    share = (1 if 1 in labels else 0) if labels else 0.5
+    return QualityModel(b"\n" * 8, b"\n" * 8, (float(np.log((share + 0.01) / (1.01 - share))), 0.0, 0.0, 0.0))
+
+
 def fit_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -102,8 +109,8 @@ def fit_quality(
 
     The sample is bounded: about ``DICT_ROWS`` and ``FIT_ROWS`` rows per class, chosen by a hash of
     the id, whatever the number of labels; whole texts. Labels other than 0 and 1 and rows without an
-    id are ignored. Without rows of both classes, every text gets the share of good labels
-    (0.5 without any).
+    id are ignored. Without labelled texts of both classes (an empty ``docs`` has none), every text
+    gets the share of good labels (0.5 without any).
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     known = known.where("id is not null and label in (0, 1)")
@@ -111,8 +118,7 @@ def fit_quality(
         known = known.where(trainable)
     counts = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
-        share = (1 if 1 in counts else 0) if counts else 0.5
-        return QualityModel(b"\n" * 8, b"\n" * 8, (float(np.log((share + 0.01) / (1.01 - share))), 0.0, 0.0, 0.0))
+        return _constant(counts)
     place = F.pmod(F.xxhash64(F.col("id"), F.lit("quality")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (DICT_ROWS + FIT_ROWS) / n)])
     picked = known.withColumn("place", place / share[F.col("label")]).where("place < 1")
@@ -126,18 +132,20 @@ def fit_quality(
     rows = _measured(sample.where(F.col("place") >= first).select("label", "text"), "text", model, curve=False).collect()
     if len({r.label for r in rows}) < 2:
         rows = _measured(sample.select("label", "text"), "text", model, curve=False).collect()
+    if len({r.label for r in rows}) < 2:
+        return _constant({r.label for r in rows})
     x, y = np.array([r.measure for r in rows]), np.array([r.label for r in rows])
     weight = np.array([counts[k] / max((y == k).sum(), 1) for k in (0, 1)])[y]
     return QualityModel(model.good, model.bad, _fit(x, y, weight / weight.mean()))
 
 
-def _measured(df: DataFrame, text_col: str, model: QualityModel, curve: bool = True) -> DataFrame:
-    """``df`` with the text's ``measure``: its score, or the features behind it."""
+def _measured(df: DataFrame, text_col: str, model: QualityModel, curve: bool = True, name: str = "measure") -> DataFrame:
+    """``df`` with the text's measure: its score, or the features behind it."""
     held = df.sparkSession.sparkContext.broadcast(model)
     others = [c for c in df.columns if c != text_col or curve]
     schema = StructType(
         [df.schema[c] for c in others]
-        + [StructField("measure", df.sparkSession.range(0).select(F.lit(0.0) if curve else F.array(F.lit(0.0))).schema[0].dataType)]
+        + [StructField(name, df.sparkSession.range(0).select(F.lit(0.0) if curve else F.array(F.lit(0.0))).schema[0].dataType)]
     )
 
     def run(batches):
@@ -148,17 +156,26 @@ def _measured(df: DataFrame, text_col: str, model: QualityModel, curve: bool = T
                 features = _features((text.as_py() or "").encode(), good, bad)
                 values.append(_probability(features, held.value.curve) if curve else list(features))
             arrays = [batch.column(c) for c in others] + [pa.array(values, pa.float64() if curve else pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*others, "measure"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*others, name])
 
     return df.select(*others, *([] if text_col in others else [text_col])).mapInArrow(run, schema)
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), replacing columns so named.
+def score_quality(
+    docs: DataFrame,
+    model: QualityModel,
+    text_col: str = "text",
+    threshold: float = THRESHOLD,
+    score_col: str = "score",
+    predicted_col: str = "predicted",
+) -> DataFrame:
+    """``docs`` with ``score_col`` (0 to 1) and ``predicted_col`` (1 from ``threshold`` on), replacing columns so named.
 
     Null and empty texts save nothing with either dictionary; their score is the curve's at no
-    length. Ties and repeated rows get the same score. One pass, no shuffle.
+    length. Ties and repeated rows get the same score. All other columns are passed on, whatever
+    their names. One pass, no shuffle.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted", "measure")]
-    scored = _measured(docs.select(*kept), text_col, model)
-    return scored.select(*kept, F.col("measure").alias("score"), (F.col("measure") >= threshold).cast("int").alias("predicted"))
+    kept = [c for c in docs.columns if c not in (score_col, predicted_col)]
+    name = free(kept, "measure")
+    scored = _measured(docs.select(*kept), text_col, model, name=name)
+    return scored.select(*kept, F.col(name).alias(score_col), (F.col(name) >= threshold).cast("int").alias(predicted_col))

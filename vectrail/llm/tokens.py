@@ -13,8 +13,8 @@ import pyarrow as pa
 
 from . import blocks
 
-KNOWN_PIECES = 1_500_000
-KNOWN_IDS = 16_000_000
+KNOWN_PIECES = 400_000
+KNOWN_IDS = 4_000_000
 # White space that is more than one byte long in UTF-8, and control characters some patterns count as such.
 _ODD_SPACE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]")
 
