@@ -293,13 +293,13 @@ def conversation_trie(conversations: DataFrame, per_task: int | None = None, las
         members.groupBy(*key).agg(*[F.min(c).alias(c) for c in ("conv_id", "u1", "u2", "n_chars")], F.count("*").alias("n_convs")), "nodes"
     )
     zero = F.lit(0).cast("long")
-    root = known.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
-    root = root.select(zero.alias("depth"), zero.alias("k1"), zero.alias("k2"), "conv_id", F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", zero.alias("n_chars"))
-    upper = nodes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("conv_id").alias("parent_conv_id"))
+    whole = known.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).first()  # the root
     columns = [*key, "conv_id", "parent_conv_id", "n_convs", "n_chars"]
-    top = root.select(F.lit(1).cast("long").alias("depth"), F.col("conv_id").alias("parent_conv_id"))  # one row
+    root = members.sparkSession.createDataFrame([(0, 0, 0, whole.conv_id, None, whole.n_convs, 0)] * (whole.n_convs > 0), ", ".join(f"{c} long" for c in columns))
+    upper = nodes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("u1"), F.col("k2").alias("u2"), F.col("conv_id").alias("parent_conv_id"))
     tree = nodes.where("depth > 1").join(upper, ["depth", "u1", "u2"]).select(*columns)
-    tree = tree.unionByName(nodes.where("depth = 1").join(F.broadcast(top), "depth").select(*columns)).unionByName(root)
+    top = nodes.where("depth = 1").withColumn("parent_conv_id", F.lit(whole.conv_id).cast("long"))
+    tree = tree.unionByName(top.select(*columns)).unionByName(root)
     tree = stored(tree, "tree")
     discard(nodes)
     counts = tree.where("depth > 0").groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("n_children"))
