@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import embed as e
 from vectrail.functions import vector as v
-from vectrail.operators import ann
 from vectrail.operators import search as ops
 
 
@@ -160,26 +159,6 @@ def test_a_failing_text_spares_its_batch(spark):
     assert [r.v for r in got] == [[1.0, 1.0], None, None, [3.0, 1.0]]
 
 
-def test_clustered_search_recall(spark, folder):
-    source = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    index = ann.build_index(source, f"{folder}/index", "vec_id", lists=10)
-    total, hits = 0, 0
-    for row in source.orderBy("vec_id").limit(5).collect():
-        exact = {r.vec_id for r in ops.top_k(source, row.embedding, 10, "vec_id").collect()}
-        every = {r.vec_id for r in index.search(row.embedding, 10, probes=10).collect()}
-        some = {r.vec_id for r in index.search(row.embedding, 10, probes=5).collect()}
-        assert every == exact
-        hits, total = hits + len(some & exact), total + 10
-    assert hits / total >= 0.6
-
-
-def test_clustered_search_reads_only_probed_lists(spark, folder):
-    source = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
-    index = ann.build_index(source, f"{folder}/index", "vec_id", lists=8)
-    found = index.search(source.first().embedding, 5, probes=2)
-    assert "PartitionFilters: [list_id" in found._jdf.queryExecution().toString()
-
-
 def test_models_are_held_up_to_a_bound(monkeypatch):
     monkeypatch.setattr(e, "_held_models", e.OrderedDict())
     loads = []

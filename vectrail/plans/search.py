@@ -83,12 +83,39 @@ def topk_cosine_batch(spark, sf):
     )
 
 
-@plan()
+# Queries of the index: every hundredth vector.
+ASKED_SQL = f"""
+WITH ranked AS (
+  SELECT q.vec_id AS query_id, e.vec_id, round({sql_distance('q.embedding', 'e.embedding')}, 6) AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY round({sql_distance('q.embedding', 'e.embedding')}, 6), e.vec_id) AS rank
+  FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, distance, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10"""
+
+
+def asked(vectors):
+    return vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@plan(ASKED_SQL)
 def topk_ivf(spark, sf):
+    """Every hundredth vector against all rows of the index, all lists probed: exact."""
     vectors = table(spark, sf, "embeddings")
-    query = vectors.orderBy("vec_id").first().embedding
-    index = ann.build_index(vectors, new_scratch(spark, "ivf"), "vec_id", lists=20)
-    return index.search(query, 10, probes=5)
+    path = new_scratch(spark, "ivf")
+    ann.build_index(vectors, path, "vec_id", lists=20)
+    return ann.open_index(spark, path).search_many(asked(vectors), 10, "query_id", probes=20)
+
+
+@plan(ASKED_SQL)
+def topk_ivf_added(spark, sf):
+    """An index of one label's vectors that the others are added to, batch by batch, and whose crowded lists split."""
+    vectors = table(spark, sf, "embeddings")
+    path = new_scratch(spark, "ivf-added")
+    ann.build_index(vectors.filter("label % 4 = 0"), path, "vec_id", lists=20)
+    for k in (1, 2, 3):
+        batch = vectors.filter(F.coalesce(F.pmod("label", F.lit(4)), F.lit(3)) == k)
+        ann.open_index(spark, path).add(batch, f"batch {k}")
+    index = ann.open_index(spark, path).split_crowded(factor=1.5)
+    return index.search_many(asked(vectors), 10, "query_id", probes=len(index.list_ids))
 
 
 @plan(f"""
