@@ -100,7 +100,7 @@ def messages(spark, *items):
 def incremental(spark, folder, name, files):
     table = KeyedTable(spark, f"{folder}/{name}", TEXT_EMBEDDINGS, key=["text_message_id"], rule="first")
     source = spark.readStream.schema(TEXT_MESSAGES).option("maxFilesPerTrigger", files).parquet(f"{folder}/messages")
-    body = jobs.incremental_embed_batch(table, EMBED, now())
+    body = jobs.incremental_embed_batch(table, EMBED, now(), jobs.DeadLetters(f"{folder}/dead"))
     jobs.drain(jobs.run(source, name, f"{folder}/checkpoint-{name}", body, once=True))
     return table
 
@@ -120,13 +120,24 @@ def test_incremental_embedding_in_any_number_of_batches(spark, folder):
     assert [r[0] for r in pairs(grown.read(), "text_message_id")] == ["a", "b", "c", "d", "e"]
 
 
+def test_a_batch_does_not_shuffle_the_table(spark, folder):
+    table = KeyedTable(spark, f"{folder}/t", TEXT_EMBEDDINGS, key=["text_message_id"], rule="first")
+    done = spark.range(1000).select(F.col("id").cast("string").alias("text_message_id"), F.lit("").alias("text_content"), F.lit(None).cast("array<float>").alias("embedding"), now().alias("created_at"))
+    table.replace(done)
+    arrived = messages(spark, ("5", "x", 1), ("2000", "y", 2)).persist()
+    pending = jobs.unprocessed_in(arrived, table.read())
+    assert [r.id for r in pending.collect()] == ["2000"]
+    assert "Exchange hashpartitioning" not in pending._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pending_round_by_hand(spark, folder):
     table = KeyedTable(spark, f"{folder}/t", TEXT_EMBEDDINGS, key=["text_message_id"], rule="first")
+    dead = jobs.DeadLetters(f"{folder}/dead")
     rows = messages(spark, *[(f"m{i:02}", "x", i) for i in range(7)])
-    assert jobs.process_pending(rows, table, EMBED, now(), batch_size=4) == 4
+    assert jobs.process_pending(rows, table, EMBED, now(), dead, batch_size=4) == 4
     assert [r[0] for r in pairs(table.read(), "text_message_id")] == ["m00", "m01", "m02", "m03"]
-    assert jobs.process_pending(rows, table, EMBED, now(), batch_size=4) == 3
-    assert jobs.process_pending(rows, table, EMBED, now(), batch_size=4) == 0
+    assert jobs.process_pending(rows, table, EMBED, now(), dead, batch_size=4) == 3
+    assert jobs.process_pending(rows, table, EMBED, now(), dead, batch_size=4) == 0
 
 
 def test_failing_messages_are_set_aside_and_retried(spark, folder):
@@ -139,7 +150,7 @@ def test_failing_messages_are_set_aside_and_retried(spark, folder):
     table = KeyedTable(spark, f"{folder}/t", TEXT_EMBEDDINGS, key=["text_message_id"], rule="first")
     dead = jobs.DeadLetters(f"{folder}/dead")
     rows = messages(spark, ("a", "bad", 1), ("b", "fine", 2), ("c", "bad", 3), ("d", "fine", 4))
-    taken = [jobs.process_pending(rows, table, moody, now(), 1, dead) for _ in range(5)]
+    taken = [jobs.process_pending(rows, table, moody, now(), dead, 1) for _ in range(5)]
     assert taken == [1, 1, 1, 1, 0]
     assert [r[0] for r in pairs(table.read(), "text_message_id")] == ["b", "d"]
     assert sorted(r.key for r in dead.read(spark).collect()) == ["a", "c"]

@@ -95,6 +95,39 @@ def test_compaction_starts_by_itself(spark, folder):
     assert content(table)[0] == ("a", "6") and len(content(table)) == 8
 
 
+@pytest.mark.parametrize("rule", ["last", "first"])
+def test_small_batches_on_a_large_base_leave_few_pieces(spark, folder, rule):
+    table = KeyedTable(spark, folder, SIMPLE, key=["id"], rule=rule)
+    base = spark.range(50_000).select(F.concat(F.lit("b"), "id").alias("id"), F.repeat(F.lit("base "), 20).alias("text"))
+    table.replace(base)
+    want = {}
+    for n in range(40):
+        given = [(f"k{n % 5}", str(n)), (f"b{n}", f"new {n}"), (f"n{n}", "x")]
+        table.append(rows(spark, *[(i, t, 1) for i, t in given]).coalesce(1), n, ["seq"])
+        for i, t in given:
+            want[i] = t if rule == "last" else want.get(i, t if i[0] != "b" else "base " * 20)
+    assert len(fs.children(spark, f"{folder}/base")) == 1
+    assert len(table._pieces(table._covered())) <= 2 * 8 + 1
+    got = dict(content(table))
+    assert len(got) == 50_000 + 45 and {i: got[i] for i in want} == want
+    before = content(table)
+    table.append(rows(spark, ("k0", "replayed", 1)), 3, ["seq"])  # long since merged
+    assert content(table) == before
+    table.vacuum()
+    assert content(table) == before and len(fs.children(spark, f"{folder}/log")) <= 2 * 8 + 1
+    plan = table.read()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_creation_times_outlive_merging(spark, folder):
+    shape = "id string, text string, created_at timestamp, seq long"
+    table = KeyedTable(spark, folder, spark.createDataFrame([], "id string, text string, created_at timestamp").schema, key=["id"], keep_first=["created_at"], compact_after=1000)
+    for n in range(20):
+        table.append(spark.createDataFrame([("a", str(n), datetime(2024, 1, 1 + n), 1)], shape), n, ["seq"])
+    assert len(table._pieces(-1)) < 12
+    assert content(table, "text", "created_at") == [("19", datetime(2024, 1, 1))]
+
+
 def test_truncate_and_delete(spark, folder):
     table = KeyedTable(spark, folder, SIMPLE, key=["id"])
     table.append(rows(spark, ("a", "1", 1), ("b", "1", 1)), 0, ["seq"])

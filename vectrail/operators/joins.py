@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .keyed import BROADCAST_KEYS
+from .keyed import BROADCAST_KEYS, without_existing
 
 
 def unprocessed(
@@ -31,6 +31,16 @@ def unprocessed(
     return pending.orderBy("created_at", "id").limit(batch_size)
 
 
+def unprocessed_in(batch: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """J1 for a batch that arrived: those of its messages without an embedding.
+
+    The batch's ids travel to the table and the hits come back, so the table is not shuffled.
+    ``batch`` is used more than once; callers persist it.
+    """
+    pending = batch.select("id", "content", "created_at")
+    return without_existing(pending, embeddings.select(F.col("text_message_id").alias("id")), ["id"])
+
+
 def reconcile(produced: DataFrame, stages: dict[str, DataFrame], id: str = "id") -> DataFrame:
     """Every produced id with one flag per stage that saw it.
 

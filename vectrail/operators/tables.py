@@ -1,18 +1,24 @@
 """Keyed tables on plain parquet: an append log per micro-batch plus compacted snapshots.
 
     <path>/log/<n>@<batch>/           one folder per batch, each key at most once
+    <path>/runs/L<level>-<m>-<n>/     the batches numbered m to n merged, sorted by key
     <path>/base/v<version>-b<n>/      snapshot covering the batches numbered up to n
 
 Batches are numbered in order of arrival; their names tell a replay from news. A folder
 counts once its job committed (``_SUCCESS``), so readers never see half a batch and a
 replayed batch simply replaces its own folder. Nothing is ever read and overwritten in one
 job. A table has one writer at a time.
+
+Batches are merged by levels: eight of one level become a run of the next, so a reader meets
+a number of folders that is logarithmic in the number of batches, however large the snapshot
+they are still to be merged into. The newest batch stays by itself, as its stream may replay it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +30,8 @@ from .keyed import first_per_key, last_per_key, without_existing
 # A log of at most this many stored bytes has few enough keys to broadcast.
 BROADCAST_LOG_BYTES = 16 * 1024 * 1024
 NO_BATCH = -1
+# Pieces of one level that make a run of the next.
+FANOUT = 8
 # Column that carries the batch number inside the log.
 BATCH = "_batch"
 
@@ -71,14 +79,29 @@ class KeyedTable:
                 found.append((int(number), name, f"{self.path}/log/{folder}"))
         return sorted(found)
 
-    def _batches(self, after: int, before: int | None = None) -> list[tuple[int, str]]:
-        return [
-            (number, path)
+    def _runs(self) -> list[tuple[int, int, int, str]]:
+        """Level, first and last batch and path of every committed run."""
+        found = []
+        for name in fs.children(self.spark, f"{self.path}/runs"):
+            if name.startswith("L") and fs.is_committed(self.spark, f"{self.path}/runs/{name}"):
+                found.append((*map(int, name[1:].split("-")), f"{self.path}/runs/{name}"))
+        return sorted(found, key=lambda run: run[1:3])
+
+    def _pieces(self, after: int, before: int | None = None) -> list[tuple[int, int, int, str]]:
+        """Level, first and last batch and path of what holds the batches after a snapshot, oldest first."""
+        runs = [r for r in self._runs() if r[1] > after]
+        outer = [r for r in runs if not any(o is not r and o[1] <= r[1] and r[2] <= o[2] for o in runs)]
+        single = [
+            (0, number, number, path)
             for number, _, path in self._folders()
-            if number > after
-            and (before is None or number < before)
-            and fs.is_committed(self.spark, path)
+            if number > after and not any(r[1] <= number <= r[2] for r in outer) and fs.is_committed(self.spark, path)
         ]
+        found = sorted(outer + single, key=lambda piece: piece[1])
+        return [piece for piece in found if before is None or piece[2] < before]
+
+    def _is_final(self, number: int) -> bool:
+        """True for a batch that is part of a snapshot or a run; writing it again changes nothing."""
+        return number <= self._covered() or any(r[1] <= number <= r[2] for r in self._runs())
 
     def _read(self, paths: Sequence[str], with_batch: bool = False) -> DataFrame:
         position = [T.StructField(BATCH, T.LongType())] if with_batch else []
@@ -91,7 +114,8 @@ class KeyedTable:
     def read(self, before: str | int | None = None) -> DataFrame:
         """The table's rows, one per key; ``before`` names a batch and leaves out its rows
         and later ones, as a replay of that batch needs."""
-        return self._rows(None if before is None else self._number(str(before)))
+        number = None if before is None else self._number(str(before))
+        return self._rows(None if number is None or self._is_final(number) else number)
 
     def _rows(self, before: int | None) -> DataFrame:
         snapshots = self._snapshots()
@@ -99,18 +123,18 @@ class KeyedTable:
         if snapshots:
             _, upto, base_path = snapshots[-1]
             base = self._read([base_path])
-        batches = self._batches(upto, before)
-        if not batches:
+        paths = [piece[3] for piece in self._pieces(upto, before)]
+        if not paths:
             return base if base is not None else self._read([])
-        log = self._read([p for _, p in batches], with_batch=True)
+        log = self._read(paths, with_batch=True)
         if self.rule == "first":
             log = log.drop(BATCH)
             return log if base is None else base.unionByName(log)
-        newest = self._newest(log)
+        newest = self._newest(log).drop(BATCH)
         if base is None:
             return newest
         keys = newest.select(*self.key)
-        stored = sum(fs.size_bytes(self.spark, p) for _, p in batches)
+        stored = sum(fs.size_bytes(self.spark, p) for p in paths)
         if stored <= self.broadcast_log_bytes:
             keys = F.broadcast(keys)
         if self.keep_first:
@@ -118,12 +142,23 @@ class KeyedTable:
         return base.join(keys, self.key, "left_anti").unionByName(newest)
 
     def _newest(self, log: DataFrame) -> DataFrame:
-        rest = [c for c in self._columns if c not in self.key and c not in self.keep_first]
-        newest = log.groupBy(*self.key).agg(
-            F.max_by(F.struct(*rest), BATCH).alias("_row"),
-            *[F.min_by(c, BATCH).alias(c) for c in self.keep_first],
-        )
-        return newest.select(*[F.col(f"_row.{c}") if c in rest else F.col(c) for c in self._columns])
+        """The newest row of every key, with its batch.
+
+        Only keys written more than once are gathered, with their newest batch; rows go by that
+        list where they are, and their payloads are not aggregated.
+        """
+        again = log.groupBy(*[F.col(k).alias(f"_again_{k}") for k in self.key]).agg(
+            F.max(BATCH).alias("_newest"), F.count("*").alias("_times"),
+            *[F.min_by(c, BATCH).alias(f"_first_{c}") for c in self.keep_first],
+        ).filter("_times > 1")
+        same = [F.col(k).eqNullSafe(F.col(f"_again_{k}")) for k in self.key]
+        rows = log.join(again, reduce(lambda a, b: a & b, same), "left")
+        rows = rows.filter(F.col("_newest").isNull() | (F.col(BATCH) == F.col("_newest")))
+        kept = [
+            F.when(F.col("_newest").isNull(), F.col(c)).otherwise(F.col(f"_first_{c}")).alias(c) if c in self.keep_first else F.col(c)
+            for c in self._columns
+        ]
+        return rows.select(*kept, BATCH)
 
     def _with_kept(self, newest: DataFrame, base: DataFrame) -> DataFrame:
         old = base.select(*self.key, *[F.col(c).alias(f"_old_{c}") for c in self.keep_first])
@@ -143,26 +178,47 @@ class KeyedTable:
                 return number
         return max([self._covered(), *[number for number, _, _ in folders]]) + 1
 
-    def append(self, rows: DataFrame, batch: str | int, order: Sequence[str]) -> None:
+    def append(self, rows: DataFrame, batch: str | int, order: Sequence[str], known_new: bool = False) -> None:
         """Write one batch; ``order`` columns rank rows of a key inside the batch.
 
-        Appending a batch of the same name again leaves the table as it was.
+        Appending a batch of the same name again leaves the table as it was. ``known_new`` tells a
+        "first" table that the caller has left out all keys it holds already.
         """
         number = self._number(str(batch))
-        if number <= self._covered():
-            return  # already part of a snapshot
+        if self._is_final(number):
+            return
         path = f"{self.path}/log/{number:09d}@{batch}"
-        if self.rule == "first":
+        if self.rule == "first" and known_new:
+            self._write(first_per_key(rows, self.key, order), path, number)
+        elif self.rule == "first":
             picked = first_per_key(rows, self.key, order).persist()
-            self._write(without_existing(picked, self._rows(number), self.key), path, number)
-            picked.unpersist()
+            try:
+                self._write(without_existing(picked, self._rows(number), self.key), path, number)
+            finally:
+                picked.unpersist()
         else:
             self._write(last_per_key(rows, self.key, order, self.keep_first), path, number)
-        if len(self._batches(self._covered())) >= self.compact_after and self._log_is_heavy():
+        if number - self._covered() >= self.compact_after and self._log_is_heavy():
             self.compact()
-
-    def _write(self, rows: DataFrame, path: str, number: int | None = None) -> None:
-        rows = rows.select(*self._columns)
+        else:
+            self._merge_levels()
+
+    def _merge_levels(self) -> None:
+        """Merge the oldest pieces of a level once there are enough; the newest batch is left out."""
+        while True:
+            pieces = self._pieces(self._covered())[:-1]
+            levels = sorted({p[0] for p in pieces})
+            full = next((level for level in levels if sum(p[0] == level for p in pieces) >= FANOUT), None)
+            if full is None:
+                return
+            parts = [p for p in pieces if p[0] == full][:FANOUT]
+            log = self._read([p[3] for p in parts], with_batch=True)
+            merged = log if self.rule == "first" else self._newest(log)
+            merged = merged.repartitionByRange(*self.key).sortWithinPartitions(*self.key)
+            self._write(merged, f"{self.path}/runs/L{full + 1}-{parts[0][1]:09d}-{parts[-1][2]:09d}", with_batch=True)
+
+    def _write(self, rows: DataFrame, path: str, number: int | None = None, with_batch: bool = False) -> None:
+        rows = rows.select(*self._columns, *([BATCH] if with_batch else []))
         if number is not None:
             rows = rows.withColumn(BATCH, F.lit(number).cast("bigint"))
         writer = rows.write.mode("overwrite")
@@ -180,7 +236,7 @@ class KeyedTable:
         if not snapshots:
             return True
         _, upto, base = snapshots[-1]
-        log = sum(fs.size_bytes(self.spark, p) for _, p in self._batches(upto))
+        log = sum(fs.size_bytes(self.spark, p[3]) for p in self._pieces(upto))
         return log * 4 >= fs.size_bytes(self.spark, base)
 
     def next_batch(self) -> int:
@@ -210,20 +266,22 @@ class KeyedTable:
         self.replace(self._read([]))
 
     def vacuum(self) -> None:
-        """Delete folders that the newest snapshot made redundant; run it when no reader
+        """Delete folders that the newest snapshot or a run made redundant; run it when no reader
         still works on an older one.
 
         The last batch of each stream stays, as the stream may replay it.
         """
         snapshots = self._snapshots()
-        if not snapshots:
-            return
         for _, _, path in snapshots[:-1]:
             fs.remove(self.spark, path)
-        folders = self._folders()
+        folders, covered = self._folders(), self._covered()
+        used = {piece[3] for piece in self._pieces(covered)}
         last = {name.rpartition(".")[0]: number for number, name, _ in folders if "." in name}
         for number, name, path in folders:
-            if number <= snapshots[-1][1] and last.get(name.rpartition(".")[0]) != number:
+            if self._is_final(number) and last.get(name.rpartition(".")[0]) != number:
+                fs.remove(self.spark, path)
+        for *_, path in self._runs():
+            if path not in used:
                 fs.remove(self.spark, path)
 
 

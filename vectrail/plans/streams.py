@@ -166,7 +166,7 @@ def stream_incremental_embed(spark, sf):
     root = new_scratch(spark, "incremental")
     store = embeddings_store(spark, sf, root)
     source = spark.readStream.schema(TEXT_MESSAGES).parquet(path)
-    run_once(source, "incremental", root, jobs.incremental_embed_batch(store, EMBED, now()))
+    run_once(source, "incremental", root, jobs.incremental_embed_batch(store, EMBED, now(), jobs.DeadLetters(f"{root}/dead")))
     return store.read().select(
         "text_message_id",
         F.md5("text_content").alias("text_content"),
@@ -174,6 +174,29 @@ def stream_incremental_embed(spark, sf):
     )
 
 
+@plan(f"""
+WITH {MESSAGES_SQL},
+failing AS (SELECT id, content, coalesce(length(content), 0) % 7 = 3 AS fails FROM messages)
+SELECT id, CASE WHEN l.doc_id IS NOT NULL THEN 'known' WHEN fails THEN 'failed' ELSE 'embedded' END AS state
+FROM failing LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON CAST(l.doc_id AS VARCHAR) = id""")
+def stream_embed_failures(spark, sf):
+    """A model that fails on some texts: every message is either stored or set aside."""
+
+    def moody(rows):
+        fails = F.coalesce(F.length("text"), F.lit(0)) % 7 == 3
+        return EMBED(rows).withColumn("embed_error", F.when(fails, F.lit("the model failed")))
+
+    path = staged(spark, sf, "message-table", lambda path: messages(spark, sf).write.parquet(path))
+    root = new_scratch(spark, "failures")
+    store, dead = embeddings_store(spark, sf, root), jobs.DeadLetters(f"{root}/dead")
+    source = spark.readStream.schema(TEXT_MESSAGES).parquet(path)
+    run_once(source, "failures", root, jobs.incremental_embed_batch(store, moody, now(), dead))
+    known = F.when(F.col("embedding").isNull(), F.lit("known")).otherwise(F.lit("embedded"))
+    stored = store.read().select(F.col("text_message_id").alias("id"), known.alias("state"))
+    documents = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    return stored.join(documents, "id", "left_semi").unionByName(dead.read(spark).select(F.col("key").alias("id"), F.lit("failed").alias("state")))
+
+
 @plan(f"""
 WITH {MESSAGES_SQL},
 pending AS (SELECT id, content FROM messages WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)
@@ -183,8 +206,9 @@ SELECT id AS text_message_id, md5(content) AS text_content, (SELECT count(*) FRO
 FROM embedded""")
 def process_pending(spark, sf):
     """One round of the poller over the whole message table: the ten oldest."""
-    store = embeddings_store(spark, sf, new_scratch(spark, "pending"))
-    count = jobs.process_pending(messages(spark, sf), store, EMBED, now(), batch_size=10)
+    root = new_scratch(spark, "pending")
+    store = embeddings_store(spark, sf, root)
+    count = jobs.process_pending(messages(spark, sf), store, EMBED, now(), jobs.DeadLetters(f"{root}/dead"), batch_size=10)
     return store.read().filter("text_content <> ''").select(
         "text_message_id",
         F.md5("text_content").alias("text_content"),

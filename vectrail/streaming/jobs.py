@@ -27,7 +27,7 @@ from ..functions.messages import (
     text_message_checks,
     with_reject_reason,
 )
-from ..operators.joins import unprocessed
+from ..operators.joins import unprocessed, unprocessed_in
 from ..operators.tables import KeyedTable
 from ..session import spread
 from ..sources import log as message_log
@@ -247,25 +247,25 @@ def failed_messages(embedded: DataFrame) -> DataFrame:
     )
 
 
-def incremental_embed_batch(
-    table: KeyedTable, embed: Embed, now: Column, dead: DeadLetters | None = None
-):
+def incremental_embed_batch(table: KeyedTable, embed: Embed, now: Column, dead: DeadLetters):
     """T5: of the messages that arrived, embed those without an embedding.
 
     The checkpoint stands in for the poller's last timestamp, so late and equal times
     are not lost. Messages the model fails on go to ``dead``, from where ``retry_failed``
-    takes them up again.
+    takes them up again: what is stored and what is set aside are all messages. The table is
+    asked once a batch, by the batch's ids, and is not shuffled.
     """
 
     def body(batch: DataFrame, name: str) -> None:
-        pending = unprocessed(spread(batch, "id"), table.read(before=name))
+        arrived = spread(batch.select("id", "content", "created_at"), "id").persist()
+        pending = unprocessed_in(arrived, table.read(before=name))
         embedded = embed(pending.withColumnRenamed("content", "text")).persist()
         try:
-            table.append(embedded_rows(embedded, now), name, order=OLDEST_FIRST)
-            if dead is not None:
-                dead.write(failed_messages(embedded), name)
+            table.append(embedded_rows(embedded, now), name, order=OLDEST_FIRST, known_new=True)
+            dead.write(failed_messages(embedded), name)
         finally:
             embedded.unpersist()
+            arrived.unpersist()
 
     return body
 
@@ -275,18 +275,21 @@ def process_pending(
     table: KeyedTable,
     embed: Embed,
     now: Column,
+    dead: DeadLetters,
     batch_size: int | None = 10,
-    dead: DeadLetters | None = None,
 ) -> int:
     """One round of the poller, by hand: embed the oldest pending messages and give the
     number taken up.
 
-    With ``dead``, messages the model fails on are set aside there and no later round
-    takes them again, so a failing message blocks nothing; without it they stay pending.
+    Messages the model fails on are set aside in ``dead`` and no later round takes them again,
+    so a failing message blocks nothing.
     """
-    if dead is not None:
-        aside = dead.read(messages.sparkSession).filter("reject_reason = 'embedding_failed'")
-        messages = messages.join(aside.select(F.col("key").alias("id")), "id", "left_anti")
+    aside = dead.read(messages.sparkSession).filter("reject_reason = 'embedding_failed'")
+    messages = messages.join(aside.select(F.col("key").alias("id")), "id", "left_anti")
+    return _embed_pending(messages, table, embed, now, batch_size, dead)
+
+
+def _embed_pending(messages: DataFrame, table: KeyedTable, embed: Embed, now: Column, batch_size: int | None, dead: DeadLetters | None) -> int:
     pending = spread(unprocessed(messages, table.read(), batch_size), "id").persist()
     embedded = embed(pending.withColumnRenamed("content", "text")).persist()
     try:
@@ -308,7 +311,7 @@ def retry_failed(
     """Embed once more the messages that were set aside and are still without an embedding."""
     aside = dead.read(messages.sparkSession).filter("reject_reason = 'embedding_failed'")
     again = messages.join(aside.select(F.col("key").alias("id")), "id", "left_semi")
-    return process_pending(again, table, embed, now, None)
+    return _embed_pending(again, table, embed, now, None, None)
 
 
 def file_sink(path: str) -> Body:
