@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .license_rules import PHRASES, RULES
+from .scratch import bound_batches
 
 # What separates words once A-Z are lower-cased.
 _BETWEEN = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -172,6 +173,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    bound_batches(docs.sparkSession)
     kind = source.schema["id"].dataType
     ddl = f"id {kind.simpleString()}, n_words bigint, detections {_DETECTION}, score double"
     return source.mapInArrow(_scanned(rules or signature_rules(), to_arrow_type(kind)), ddl).withColumnRenamed("id", id_col)

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..fs import remove, size_bytes
 from ..session import new_scratch, scratch_root
 
 
+# Bytes of an Arrow batch; JVM and Python hold one several times over, and Spark's own bound is 64 MB.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on whole texts go to Python in batches of at most ``BATCH_BYTES``, unless a smaller bound is set."""
+    set_to = int(spark.conf.get(_BATCH, "-1").rstrip("b") or -1)
+    if not 0 < set_to <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, label: str, *, buckets: str | None = None) -> DataFrame:
     """The rows of ``df``, computed once."""
+    bound_batches(df.sparkSession)
     path = new_scratch(df.sparkSession, label)
     writer = df.write.partitionBy(buckets) if buckets else df.write
     writer.parquet(path)
