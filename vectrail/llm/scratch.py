@@ -15,8 +15,7 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 def bound_batches(spark: SparkSession) -> None:
     """From now on whole texts go to Python in batches of at most ``BATCH_BYTES``, unless a smaller bound is set."""
-    set_to = int(spark.conf.get(_BATCH, "-1").rstrip("b") or -1)
-    if not 0 < set_to <= BATCH_BYTES:
+    if int(spark.conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
