@@ -53,3 +53,11 @@ def test_recent_and_lookup(spark):
     assert sorted(r.id for r in search.recent(df, now, "1 hour").collect()) == [3, 4]
     assert search.get_by_id(df, 9).count() == 0 and search.get_by_id(df, 2).count() == 1
     assert {r.distance for r in search.search_recent(df, "processed_at", "id", 2).collect()} == {0.5}
+
+
+def test_rows_that_tie_in_time_and_id_come_alike_at_any_depth(spark):
+    rows = spark.createDataFrame([("a", 1, f"t{k}") for k in range(9)], "id string, at long, text string")
+    rows = rows.withColumn("at", F.timestamp_seconds("at"))
+    shallow = [r.text for r in search.newest(rows, "at", "id", 4, 2).collect()]
+    deep = [r.text for r in search.newest(rows, "at", "id", 4, 2, heap_rows=1).collect()]
+    assert sorted(shallow) == sorted(deep)

@@ -9,34 +9,30 @@ def evaluate(spark, value, function):
     return rows.first().x
 
 
-@pytest.mark.parametrize(
-    "text, tokens",
-    [("eight ch", 2), ("Slate roofs outlast most of their owners.", 10), ("", 0), ("qz" * 300, 150), ("abc", 1)],
-)
-def test_token_estimate_with_minimum(spark, text, tokens):
-    assert evaluate(spark, text, t.estimate_tokens_min1) == tokens
-
-
-def test_token_estimate_counts_code_points(spark):
-    assert evaluate(spark, "😀" * 9, t.estimate_tokens) == 2
+@pytest.mark.parametrize("length", [0, 1, 3, 4, 7, 4096])
+@pytest.mark.parametrize("unit", ["k", " ", "𝔄"])
+def test_token_estimates_follow_the_number_of_code_points(spark, unit, length):
+    assert evaluate(spark, unit * length, t.estimate_tokens) == length // 4
+    assert evaluate(spark, unit * length, t.estimate_tokens_min1) == (max(1, length // 4) if length else 0)
 
 
 @pytest.mark.parametrize(
     "text, cleaned",
     [
-        ("plain river", "plain river"),
-        ("[[Danube delta|the delta]] floods", "the delta floods"),
-        ("near [[Tulcea]].", "near Tulcea."),
-        ("depth<ref>Survey, p. 3</ref> varies", "depth<ref>Survey, p. 3</ref> varies"),
-        ("old [[Category:Rivers]] maps", "old Category:Rivers maps"),
-        ("[[Po|it]] <ref>x</ref> [[Category:Deltas]]", "it <ref>x</ref> Category:Deltas"),
-        ("", ""),
-        ("   ", ""),
-        ("\t \n", ""),
-        ("{{box|a}}x {{b}} y", "x  y"),
-        ("== Head ==", "Head"),
-        ("a \x1cb", "a b"),
-        ("[http://x.org label] '''b'''<!-- c -->", "label b"),
+        ("[[outer|[[inner]]]]", "[[inner]]"),  # one pass: the inner link is left
+        ("see [[an open link", "see [[an open link"),
+        ("[[mill {{dated|1802}} race|sluice]] gate", "sluice gate"),
+        ("[[weir|low weir {{fact}}]]", "low weir"),
+        ("stray }} and {{ marks", "stray }} and {{ marks"),
+        ("ford  and ferry", "ford and ferry"),
+        ("lock\x1d\x1fkeeper\x0b", "lock keeper"),
+        ("=== towpath == bridge ===", "towpath == bridge"),
+        ("== a == then text", "== a == then text"),  # a heading is the whole text
+        ("[[🜁|𝔄ir]] and '''𝕏'''", "𝔄ir and 𝕏"),
+        ("it''''s", "its"),
+        ("barge<!-- two\nlines -->s", "barges"),
+        ("[https://canal.example] ends", "ends"),
+        (None, ""),
     ],
 )
 def test_wiki_cleaner(spark, text, cleaned):

@@ -86,6 +86,7 @@ def clean_wiki(text: Column) -> Column:
     heading can only be the whole text, and removals may leave double blanks behind.
     """
     out = collapse_spaces(F.coalesce(text, F.lit("")))
+    # The markup that is removed, in this order.
     for pattern, replacement in (
         (r"\{\{[^}]*\}\}", ""),                    # templates
         (r"\[\[([^|\]]*\|)?([^\]]*)\]\]", "$2"),  # page links, keep the label

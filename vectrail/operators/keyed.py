@@ -41,23 +41,6 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> Da
     return _pick(df, list(key), order, F.min_by)
 
 
-def last_per_key_touched(
-    df: DataFrame,
-    key: Sequence[str],
-    order: Sequence[str],
-    created: str = "created_at",
-    updated: str = "updated_at",
-) -> DataFrame:
-    """K4: last writer wins, but the creation time stays and the update time moves on."""
-    return _pick(
-        df,
-        list(key),
-        order,
-        F.max_by,
-        also=((created, F.min(created)), (updated, F.max(updated))),
-    )
-
-
 def without_existing(
     rows: DataFrame, existing: DataFrame, key: Sequence[str], broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:

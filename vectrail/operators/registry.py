@@ -11,6 +11,7 @@ from ..schemas import EMBEDDINGS, MANAGED, REGISTRY
 from .keyed import adaptive_rows
 from .tables import KeyedTable
 
+# Dimension and model of a table that names none.
 DEFAULT_DIMENSION = 384
 DEFAULT_MODEL = "sentence-transformers/all-MiniLM-L6-v2"
 

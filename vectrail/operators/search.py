@@ -29,10 +29,11 @@ def newest(
 ) -> DataFrame:
     """L1: newest first by a time column; a per-task top-k, and for pages too deep for one
     a cut by key."""
+    age = F.coalesce(-F.unix_micros(by), F.lit(2**63 - 1))
     if offset + limit <= heap_rows:
-        ordered = df.orderBy(F.col(by).desc(), F.col(id))
+        # Rows of one time and id come in the order that the deep way gives them.
+        ordered = df.orderBy(F.col(by).desc(), F.col(id), F.xxhash64(*df.columns, age))
         return (ordered.offset(offset) if offset else ordered).limit(limit)
-    age = F.coalesce(-F.unix_micros(by), F.lit(2**63 - 1))
     page = first_rows(
         df.withColumn("_age", age), limit, "_age", id, skip=offset, heap_rows=heap_rows
     )

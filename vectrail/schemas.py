@@ -1,4 +1,7 @@
-"""Schemas of every table, file and message; reads never infer one."""
+"""Schemas of every table, file and message; reads never infer one.
+
+Fixed values: all column and field names.
+"""
 
 from pyspark.sql import types as T
 
@@ -56,16 +59,6 @@ LOG = _struct(
     ("value", STRING),
     ("timestamp", TIMESTAMP),
 )
-TEXT_MESSAGE = _struct(
-    ("id", STRING),
-    ("text", STRING),
-    ("timestamp", DOUBLE),
-    ("source", STRING),
-    ("model", STRING),
-    ("model_name", STRING),
-    ("metadata", _struct(("dataset", STRING), ("source", STRING), ("tokens", LONG))),
-    ("experiment_config", _struct(("dataset", STRING), ("chunk_size_kb", DOUBLE), ("chunk_size_tokens", LONG), ("burst_enabled", BOOLEAN))),
-)
 
 # --- keyed tables ----------------------------------------------------------------
 TEXT_MESSAGES = _struct(
