@@ -145,6 +145,40 @@ def test_ragged_and_missing_queries(spark):
     assert [r.id for r in ops.top_k(corpus, [1.0, 0.0], 5, "id").collect()] == ["a", "b", "e"]
 
 
+def test_many_queries_are_one_join_of_shares_and_blocks(spark, folder):
+    """Queries and rows are evaluated once each, nothing is broadcast but the list of lengths, and
+    each task keeps k rows per query before the last shuffle."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rng = np.random.default_rng(5)
+    corpus = vectors(spark, [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300)])
+    queries = corpus.filter("id % 10 = 0").select(counted("id").alias("query_id"), "embedding")
+    got = ops.top_k_many(queries, corpus, 3, "query_id", "id", block_bytes=8 * 4 * 7)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert {(r.query_id, r.id) for r in got.collect() if r["rank"] == 1} == {(i, i) for i in range(0, 300, 10)}
+    assert got.count() == 90 and seen.value == 30
+
+
+def test_many_queries_without_rows_or_queries(spark):
+    some = vectors(spark, [(1, [1.0, 0.0])])
+    named = some.withColumnRenamed("id", "query_id")
+    assert ops.top_k_many(named.limit(0), some, 3, "query_id", "id").count() == 0
+    assert ops.top_k_many(named, some.limit(0), 3, "query_id", "id").count() == 0
+
+
+def test_rows_with_undefined_entries_come_last(spark):
+    rows = vectors(spark, [(1, [float("nan"), 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0]), (None, [1.0, 0.0])])
+    asked = vectors(spark, [(7, [1.0, 0.0])]).withColumnRenamed("id", "query_id")
+    got = ops.top_k_many(asked, rows, 9, "query_id", "id").orderBy("rank").collect()
+    assert [(r.id, r.distance) for r in got] == [(None, 0.0), (3, 0.0), (2, 1.0), (1, None)]
+
+
 def test_a_failing_text_spares_its_batch(spark):
     def encoder():
         def encode(texts):

@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from .. import fs
 from ..functions.vector import norm
-from .search import DIGITS, top_k
+from .search import DIGITS, top_k, vectors_of
 
 DEFAULT_LISTS = 100
 # Rows per list that the centres are learnt from, on the average.
@@ -45,10 +45,6 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(length == 0, 1, length)
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
-
-
 def with_lists(df: DataFrame, vector: str, ids: np.ndarray, centers: np.ndarray, probes: int = 1) -> DataFrame:
     """``df`` with ``list_ids``: the ``probes`` nearest lists by cosine, nearest first. Vectors must have the centres' length."""
     if centers.nbytes > CENTRE_BYTES:
@@ -62,7 +58,7 @@ def with_lists(df: DataFrame, vector: str, ids: np.ndarray, centers: np.ndarray,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = np.argsort(-(_vectors(batch.column(vector)) @ centers.T), axis=1, kind="stable")[:, :width]
+            near = np.argsort(-(vectors_of(batch.column(vector)) @ centers.T), axis=1, kind="stable")[:, :width]
             flat = pa.array(ids[near].ravel().astype(np.int32))
             found = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "list_ids"])
@@ -246,7 +242,7 @@ def _subcentres(parts: dict[int, int], seed: int):
 
     def run(table: pa.Table) -> pa.Table:
         n = table.column("list_id")[0].as_py()
-        v = np.unique(_unit(_vectors(table.column("v").combine_chunks())), axis=0)
+        v = np.unique(_unit(vectors_of(table.column("v").combine_chunks())), axis=0)
         rng = np.random.default_rng(seed)
         centres = v[rng.choice(len(v), min(parts[n], len(v)), replace=False)]
         for _ in range(10):
@@ -265,7 +261,7 @@ def _scored(k: int):
         query_ids, ids, distances = asked.column("query_id"), rows.column("id"), []
         at, rank = [], []
         if len(query_ids) and len(ids):
-            scores = 1.0 - _unit(_vectors(asked.column("asked").combine_chunks())) @ _unit(_vectors(rows.column("vector").combine_chunks())).T
+            scores = 1.0 - _unit(vectors_of(asked.column("asked").combine_chunks())) @ _unit(vectors_of(rows.column("vector").combine_chunks())).T
             scores = np.round(scores, DIGITS)
             order = np.argsort(ids.to_numpy(), kind="stable")  # equal distances go to the smaller id
             for q, found in enumerate(scores[:, order]):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,10 +19,12 @@ from .limits import HEAP_ROWS, first_rows
 
 # Distances are compared at this many digits, ties fall to the id.
 DIGITS = 6
-# A block of query vectors sent to every executor takes at most this much memory.
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-# Queries scored together against one Arrow batch.
-QUERY_SLICE = 1024
+# About as many bytes of vectors lie in a share of the rows, and in a block of the queries.
+BLOCK_BYTES = 16 * 1024 * 1024
+# Shares of small tables have at least this many rows.
+LEAST_SHARE = 1024
+# Distances that a task holds at once.
+SCORES = 4 * 1024 * 1024
 
 
 def newest(
@@ -84,80 +87,49 @@ def top_k(
     return scored.orderBy(F.round("distance", DIGITS).asc_nulls_last(), F.col(id)).limit(k)
 
 
-def _nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest (distance, id) pairs."""
-    if len(distance) > k:
-        edge = np.partition(distance, k - 1)[k - 1]
-        near = np.flatnonzero(distance <= edge)
-    else:
-        near = np.arange(len(distance))
-    return near[np.lexsort((ids[near], distance[near]))[:k]]
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
-def _top_k_block(
-    corpus: DataFrame, query_ids: np.ndarray, matrix: np.ndarray, k: int, id: str, vector: str,
-    query_id_type: T.DataType,
-) -> DataFrame:
-    """Exact neighbours of one bounded block of queries, scored as matrix products."""
-    lengths = np.sqrt((matrix * matrix).sum(axis=1))
-    block = corpus.sparkSession.sparkContext.broadcast((query_ids, matrix, lengths))
-    id_type = corpus.schema[id].dataType
-    schema = T.StructType(
-        [
-            T.StructField("query_id", query_id_type),
-            T.StructField(id, id_type),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    dim = matrix.shape[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix, lengths = block.value
-        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(query_ids)
-        for batch in batches:
-            vectors = batch.column(1)
-            usable = np.flatnonzero(
-                np.asarray(vectors.value_lengths().fill_null(-1)) == dim
-            )
-            if not len(usable):
-                continue
-            rows = batch.column(0).take(pa.array(usable)).to_numpy(zero_copy_only=False)
-            flat = vectors.take(pa.array(usable)).flatten().to_numpy(zero_copy_only=False)
-            data = flat.reshape(len(usable), dim).astype(np.float64)
-            norms = np.sqrt((data * data).sum(axis=1))
-            for begin in range(0, len(query_ids), QUERY_SLICE):
-                part = slice(begin, begin + QUERY_SLICE)
+def _nearest(distance: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k smallest distances, equal ones by position."""
+    near = np.arange(len(distance))
+    if len(distance) > k:
+        near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+    return near[np.argsort(distance[near], kind="stable")[:k]]
+
+
+def _scored(k: int):
+    """The k nearest rows of one share for every query of one block; an undefined distance is null."""
+
+    def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        query_ids, found = asked.column("query_id"), []
+        ids, distances = rows.column("id"), [np.empty(0)]
+        if asked.num_rows and rows.num_rows:
+            rows = rows.take(pc.sort_indices(ids, null_placement="at_start"))  # equal distances go to the smaller id
+            ids, data = rows.column("id"), vectors_of(rows.column("vector").combine_chunks())
+            matrix = vectors_of(asked.column("asked").combine_chunks())
+            norms, lengths = (np.sqrt((m * m).sum(axis=1)) for m in (data, matrix))
+            step = max(1, SCORES // len(data))
+            for begin in range(0, len(matrix), step):
+                part = slice(begin, begin + step)
                 scale = np.outer(lengths[part], norms)
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    distances = np.round(1.0 - (matrix[part] @ data.T) / scale, DIGITS)
-                distances[scale == 0] = np.inf
-                for at, found in enumerate(distances, start=begin):
-                    keep = _nearest(found, rows, k)
-                    distance, ids = found[keep], rows[keep]
-                    if best[at] is not None:
-                        distance = np.concatenate([best[at][0], distance])
-                        ids = np.concatenate([best[at][1], ids])
-                        keep = _nearest(distance, ids, k)
-                        distance, ids = distance[keep], ids[keep]
-                    best[at] = (distance, ids)
-        held = [i for i, b in enumerate(best) if b is not None]
-        if not held:
-            return
-        distance = np.concatenate([best[i][0] for i in held])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(query_ids[held], [len(best[i][0]) for i in held])),
-                pa.array(np.concatenate([best[i][1] for i in held])),
-                pa.array(distance, mask=np.isinf(distance)),
-            ],
-            names=["query_id", id, "distance"],
+                    block = np.round(1.0 - (matrix[part] @ data.T) / scale, DIGITS)
+                block[~np.isfinite(block)] = np.inf
+                for q, distance in enumerate(block, start=begin):
+                    near = _nearest(distance, k)
+                    found.append((np.full(len(near), q), near))
+                    distances.append(distance[near])
+        at, near = (np.concatenate([f[i] for f in found] or [np.empty(0, int)]) for i in (0, 1))
+        distance = np.concatenate(distances)
+        return pa.table(
+            [query_ids.take(pa.array(at, pa.int64())), ids.take(pa.array(near, pa.int64())), pa.array(distance, mask=np.isinf(distance))],
+            names=["query_id", "id", "distance"],
         )
 
-    local = corpus.select(id, vector).mapInArrow(run, schema)
-    order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col(id))
-    return (
-        local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    )
+    return run
 
 
 def top_k_many(
@@ -168,63 +140,47 @@ def top_k_many(
     id: str,
     query_vector: str = "embedding",
     vector: str = "embedding",
-    block_bytes: int = QUERY_BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """L4 for many queries: (query_id, id, distance, rank), exact.
 
-    Query vectors go to the executors in blocks of a checked size; every task scores its
-    rows against a block and passes on k rows per query, so pairs are never written out.
-    With more than one block the corpus is scanned once per block and each result is
-    stored before the next block starts.
+    Queries are stored once and dealt into blocks, the rows into shares, both by a hash and both of
+    about ``block_bytes``. A task scores one share against one block and passes on k rows per query;
+    each task keeps k rows per query before the last merge. So no pairs are written, no vector passes
+    the driver, and rows and queries are evaluated once each, whatever their number (rows are also
+    counted). A row is moved once per block of queries of its length, a query once per share.
 
-    A query meets the rows whose vector is as long as its own; queries of different lengths
-    are answered apart. A null or empty query vector has no neighbours.
+    A query meets the rows whose vector is as long as its own. A null or empty query vector has no
+    neighbours; distances that are undefined (a zero vector, an entry that is no number) come last, as null.
     """
-    sizes = queries.select(F.size(query_vector).alias("n")).filter("n > 0").distinct().collect()
-    parts = [
-        _top_k_of_size(
-            queries.filter(F.size(query_vector) == n), corpus, k, query_id, id, query_vector, vector, block_bytes, n
-        )
-        for n in sorted(r.n for r in sizes) or [1]
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def _top_k_of_size(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    query_id: str,
-    id: str,
-    query_vector: str,
-    vector: str,
-    block_bytes: int,
-    dim: int,
-) -> DataFrame:
     spark = queries.sparkSession
-    total = queries.count()
-    rows_per_block = max(1, block_bytes // (8 * max(1, dim)))
-    blocks = -(-total // rows_per_block) if total else 1
-    if blocks > 1:  # leave room for uneven hashing
-        blocks = -(-total * 5 // (rows_per_block * 4))
-    type_ = queries.schema[query_id].dataType
-
-    def one(block: int) -> DataFrame:
-        chosen = queries.select(query_id, query_vector)
-        if blocks > 1:
-            chosen = chosen.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
-        table = chosen.toArrow()
-        vectors = table.column(1).combine_chunks()
-        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, dim)
-        ids = table.column(0).to_numpy(zero_copy_only=False)
-        return _top_k_block(corpus, ids, matrix.astype(np.float64), k, id, vector, type_)
-
-    if blocks == 1:
-        return one(0)
-    path = new_scratch(spark, "topk")
-    for block in range(blocks):
-        one(block).write.mode("overwrite").parquet(f"{path}/block={block}")
-    return spark.read.parquet(path).drop("block")
+    held = new_scratch(spark, "topk-queries")
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("asked"))
+    asked.filter(F.size("asked") > 0).write.parquet(held)
+    asked = spark.read.schema(asked.schema).parquet(held).withColumn("dim", F.size("asked"))
+    total, tasks = corpus.count(), spark.sparkContext.defaultParallelism
+    kinds = []  # one row per vector length
+    for n, size in asked.groupBy("dim").agg(F.count("*")).collect():
+        each = max(1, block_bytes // (8 * n))
+        shares = max(-(-total // each), min(tasks, -(-total // LEAST_SHARE)), 1)
+        kinds.append((n, shares, max(1, -(-size // each))))
+    kinds = F.broadcast(spark.createDataFrame(kinds, "dim int, shares int, blocks int"))
+
+    def dealt(column: str, parts: str) -> Column:
+        return F.pmod(F.xxhash64(*column.split()), F.col(parts)).cast("int")
+
+    def every(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    asked = asked.join(kinds, "dim").withColumn("block", dealt("query_id asked", "blocks")).withColumn("share", every("shares"))
+    rows = corpus.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = rows.withColumn("dim", F.size("vector")).join(kinds, "dim")
+    rows = rows.withColumn("share", dealt("id vector", "shares")).withColumn("block", every("blocks"))
+    unit = ["dim", "share", "block"]
+    asked, rows = asked.select("query_id", "asked", *unit), rows.select("id", "vector", *unit)
+    types = [queries.schema[query_id].dataType, corpus.schema[id].dataType, T.DoubleType()]
+    found = T.StructType([T.StructField(n, t) for n, t in zip(("query_id", "id", "distance"), types)])
+    near = asked.groupBy(*unit).cogroup(rows.groupBy(*unit)).applyInArrow(_scored(k), found)
+    order = Window.partitionBy("query_id").orderBy(F.col("distance").asc_nulls_last(), F.col("id"))
+    near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return near.withColumnRenamed("id", id)
