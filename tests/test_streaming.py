@@ -212,3 +212,56 @@ def test_progress_report(spark, folder):
         assert job["rows"] >= 2 and job["batches"] >= 1 and job["error"] is None
     finally:
         spark.streams.removeListener(report)
+
+
+def moody(rows):
+    """Fails on texts that begin with ``bad``."""
+    return EMBED(rows).withColumn("embed_error", F.when(F.col("text").startswith("bad"), F.lit("no")))
+
+
+@pytest.mark.parametrize("with_dead", [True, False])
+def test_counts_of_a_job_add_up_over_batches(spark, folder, with_dead):
+    report, dead = jobs.ProgressReport(), jobs.DeadLetters(f"{folder}/dead") if with_dead else None
+    later = ("c", '{"id": "c", "text": "three", "timestamp": 99, "source": "s"}')
+    produce(spark, f"{folder}/log", text("a", "one"), text("b", "bad luck"), later)
+    produce(spark, f"{folder}/log", text("d", "  "), ("x", "{bad"), text("e", "five"))
+    body = jobs.embed_batch(moody, jobs.file_sink(f"{folder}/out"), now(), dead)
+    source = log.stream(spark, f"{folder}/log", topic="text-messages", max_per_trigger=1)
+    jobs.drain(jobs.run(source, "counted", f"{folder}/checkpoint", body, once=True, report=report))
+    job = next(iter(report.jobs.values()))
+    assert [job[n] for n in ("processed", "embedded", "refused", "failed")] == [6, 3, 2, 1]
+    assert job["newest"].timestamp() == 99
+    if with_dead:
+        assert dead.read(spark).count() == 3
+
+
+def test_counts_of_the_poller_and_of_the_writers(spark, folder):
+    report, dead = jobs.ProgressReport(), jobs.DeadLetters(f"{folder}/dead")
+    rows = [("a", "one", 5), ("b", "bad", 7), ("c", "three", 6)]
+    messages = spark.createDataFrame(rows, "id string, content string, s long").withColumn("created_at", F.timestamp_seconds("s"))
+    messages.drop("s").write.parquet(f"{folder}/messages")
+    table = KeyedTable(spark, f"{folder}/table", TEXT_EMBEDDINGS, key=["text_message_id"], rule="first")
+    source = spark.readStream.schema(messages.drop("s").schema).parquet(f"{folder}/messages")
+    body = jobs.incremental_embed_batch(table, moody, now(), dead)
+    jobs.drain(jobs.run(source, "poller", f"{folder}/poller", body, once=True, report=report))
+    job = next(iter(report.jobs.values()))
+    assert [job[n] for n in ("processed", "embedded", "refused", "failed")] == [3, 2, 0, 1] and job["newest"].timestamp() == 7
+    assert [r.key for r in dead.read(spark).collect()] == ["b"]
+    writer = jobs.text_writer_batch(KeyedTable(spark, f"{folder}/texts", TEXT_MESSAGES, key=["id"], rule="first"), now(), None)
+    counts = writer(log_rows(spark, folder, text("a", "one"), ("x", "{bad")), "0")
+    assert [counts[n] for n in ("processed", "embedded", "refused", "failed")] == [2, 0, 1, 0]
+
+
+def log_rows(spark, folder, *messages):
+    produce(spark, f"{folder}/rows", *messages)
+    return log.batch(spark, f"{folder}/rows", topic="text-messages")
+
+
+def test_a_failing_batch_leaves_nothing_cached(spark, folder):
+    def broken(rows, name):
+        raise RuntimeError("sink is down")
+
+    spark.catalog.clearCache()
+    with pytest.raises(RuntimeError):
+        jobs.embed_batch(EMBED, broken, now(), None)(log_rows(spark, folder, text("a", "one")), "0")
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()

@@ -9,9 +9,11 @@ is harmless for the same reason.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -81,7 +83,18 @@ class DeadLetters:
         return spark.read.schema(shape).parquet(*[f"{self.path}/{n}" for n in names])
 
 
-Body = Callable[[DataFrame, str], None]
+# What a body does with a batch of that name; it gives the batch's counts, or nothing.
+Body = Callable[[DataFrame, str], dict | None]
+
+
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """Cached for as long as a batch works on it, also when the batch fails."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
 
 
 def run(
@@ -91,16 +104,19 @@ def run(
     body: Body,
     every: str | None = POLL,
     once: bool = False,
+    report: ProgressReport | None = None,
 ) -> StreamingQuery:
     """Start a job; ``body`` gets each micro-batch and its name. ``once`` drains what is
-    there and stops (T6)."""
+    there and stops (T6). ``report`` adds up the counts of finished batches (T8)."""
     stream_id = []
 
     def each_batch(batch: DataFrame, number: int) -> None:
         if not stream_id:
             kept = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata")
             stream_id.append(kept.first().id)
-        body(batch, f"{stream_id[0]}.{number:09d}")
+        counts = body(batch, f"{stream_id[0]}.{number:09d}")
+        if report is not None and counts:
+            report.add(stream_id[0], counts)
 
     writer = (
         stream.writeStream.queryName(name)
@@ -115,40 +131,64 @@ def drain(query: StreamingQuery) -> None:
     query.awaitTermination()
 
 
-def refused(checked: DataFrame, embedded: DataFrame) -> DataFrame:
-    """Messages that failed a check, and those the model failed on."""
-    failed = embedded.filter("embed_error is not null").select(
-        "key", "value", F.lit("embedding_failed").alias("reject_reason")
+def refused(checked: DataFrame, embedded: DataFrame | None = None, time: Column | None = None) -> DataFrame:
+    """All messages with the ``reject_reason`` of those that failed a check, and once more those the
+    model failed on; ``time`` is a message's own."""
+    time = F.lit(None).cast("timestamp") if time is None else time
+    rows = checked.select("key", "value", "reject_reason", time.alias("time"))
+    if embedded is None:
+        return rows
+    failed = embedded.filter("embed_error is not null")
+    return rows.unionByName(
+        failed.select("key", "value", F.lit("embedding_failed").alias("reject_reason"), F.lit(None).cast("timestamp").alias("time"))
+    )
+
+
+def set_aside(rows: DataFrame, dead: DeadLetters | None, name: str, embeds: bool) -> dict:
+    """Write what was refused and count the batch on the way, in one pass.
+
+    ``refused`` are messages that failed a check, ``failed`` those the model failed on; ``newest`` is
+    the latest time that a message names.
+    """
+    reason, seen = F.coalesce("reject_reason", F.lit("")), Observation()
+    failed = reason == "embedding_failed"
+    watched = rows.observe(
+        seen,
+        F.count_if(~failed).alias("processed"),
+        F.count_if((reason != "") & ~failed).alias("refused"),
+        F.count_if(failed).alias("failed"),
+        F.max("time").alias("newest"),
     )
-    return checked.select("key", "value", "reject_reason").unionByName(failed)
+    if dead is not None:
+        dead.write(watched, name)
+    else:
+        watched.write.format("noop").mode("overwrite").save()
+    counts = dict(seen.get)
+    counts["embedded"] = counts["processed"] - counts["refused"] - counts["failed"] if embeds else 0
+    return counts
 
 
 # --- batch bodies -----------------------------------------------------------------------
 def embed_batch(embed: Embed, sink: Body, now: Column, dead: DeadLetters | None):
     """Refuse unreadable and blank messages, embed the rest, emit output messages."""
 
-    def body(batch: DataFrame, name: str) -> None:
-        checked = with_reject_reason(
-            parse_text_messages(spread(batch)), text_message_checks()
-        ).persist()
-        embedded = embed(good(checked)).persist()
-        output = embedded.filter("embed_error is null")
-        sink(
-            message_log.to_log(
-                output,
-                key=F.col("id"),
-                value=embedding_output(now),
-                topic="embeddings",
-                offset=F.col("offset"),
-                timestamp=now,
-                partition=F.col("partition"),
-            ),
-            name,
-        )
-        if dead is not None:
-            dead.write(refused(checked, embedded), name)
-        embedded.unpersist()
-        checked.unpersist()
+    def body(batch: DataFrame, name: str) -> dict:
+        rows = with_reject_reason(parse_text_messages(spread(batch)), text_message_checks())
+        with held(rows) as checked, held(embed(good(checked))) as embedded:
+            output = embedded.filter("embed_error is null")
+            sink(
+                message_log.to_log(
+                    output,
+                    key=F.col("id"),
+                    value=embedding_output(now),
+                    topic="embeddings",
+                    offset=F.col("offset"),
+                    timestamp=now,
+                    partition=F.col("partition"),
+                ),
+                name,
+            )
+            return set_aside(refused(checked, embedded, instant(F.col("input_timestamp"))), dead, name, embeds=True)
 
     return body
 
@@ -156,16 +196,14 @@ def embed_batch(embed: Embed, sink: Body, now: Column, dead: DeadLetters | None)
 def writer_batch(table: KeyedTable, now: Column, dim: int | None, dead: DeadLetters | None):
     """Normalise embedding messages and upsert them into their destinations."""
 
-    def body(batch: DataFrame, name: str) -> None:
+    def body(batch: DataFrame, name: str) -> dict:
         raw = batch.withColumn("raw_value", F.col("value"))
         rows = normalize_embedding_messages(raw, now).withColumnsRenamed(
             {"log_key": "key", "raw_value": "value"}
         )
-        checked = with_reject_reason(rows, embedding_checks(dim)).persist()
-        table.append(good(checked), name, order=["partition", "offset"])
-        if dead is not None:
-            dead.write(checked, name)
-        checked.unpersist()
+        with held(with_reject_reason(rows, embedding_checks(dim))) as checked:
+            table.append(good(checked), name, order=["partition", "offset"])
+            return set_aside(refused(checked, time=F.col("timestamp")), dead, name, embeds=False)
 
     return body
 
@@ -173,28 +211,22 @@ def writer_batch(table: KeyedTable, now: Column, dim: int | None, dead: DeadLett
 def embed_store_batch(table: KeyedTable, embed: Embed, now: Column, dead: DeadLetters | None):
     """Parse, embed and upsert in one job; a message without a time gets the present."""
 
-    def body(batch: DataFrame, name: str) -> None:
+    def body(batch: DataFrame, name: str) -> dict:
         time = F.col("input_timestamp")
         odd_time = {"invalid_timestamp": time.isNotNull() & instant(time).isNull()}
-        checked = with_reject_reason(
-            parse_text_messages(spread(batch)), text_message_checks() | odd_time
-        ).persist()
-        embedded = embed(good(checked)).persist()
-        created = F.coalesce(instant(F.col("input_timestamp")), now)
-        rows = embedded.filter("embed_error is null").select(
-            "id",
-            "text",
-            "embedding",
-            created.alias("created_at"),
-            now.alias("processed_at"),
-            "partition",
-            "offset",
-        )
-        table.append(rows, name, order=["partition", "offset"])
-        if dead is not None:
-            dead.write(refused(checked, embedded), name)
-        embedded.unpersist()
-        checked.unpersist()
+        parsed = with_reject_reason(parse_text_messages(spread(batch)), text_message_checks() | odd_time)
+        with held(parsed) as checked, held(embed(good(checked))) as embedded:
+            rows = embedded.filter("embed_error is null").select(
+                "id",
+                "text",
+                "embedding",
+                F.coalesce(instant(time), now).alias("created_at"),
+                now.alias("processed_at"),
+                "partition",
+                "offset",
+            )
+            table.append(rows, name, order=["partition", "offset"])
+            return set_aside(refused(checked, embedded, instant(time)), dead, name, embeds=True)
 
     return body
 
@@ -202,21 +234,19 @@ def embed_store_batch(table: KeyedTable, embed: Embed, now: Column, dead: DeadLe
 def text_writer_batch(table: KeyedTable, now: Column, dead: DeadLetters | None, source: str = "kafka"):
     """T4: store new messages; an id that is already there keeps its row."""
 
-    def body(batch: DataFrame, name: str) -> None:
-        checked = with_reject_reason(parse_text_messages(batch), required_field_checks()).persist()
-        rows = good(checked).select(
-            "id",
-            F.col("text").alias("content"),
-            F.lit(source).alias("source"),
-            now.alias("created_at"),
-            now.alias("processed_at"),
-            "partition",
-            "offset",
-        )
-        table.append(rows, name, order=["partition", "offset"])
-        if dead is not None:
-            dead.write(checked, name)
-        checked.unpersist()
+    def body(batch: DataFrame, name: str) -> dict:
+        with held(with_reject_reason(parse_text_messages(batch), required_field_checks())) as checked:
+            rows = good(checked).select(
+                "id",
+                F.col("text").alias("content"),
+                F.lit(source).alias("source"),
+                now.alias("created_at"),
+                now.alias("processed_at"),
+                "partition",
+                "offset",
+            )
+            table.append(rows, name, order=["partition", "offset"])
+            return set_aside(refused(checked, time=instant(F.col("input_timestamp"))), dead, name, embeds=False)
 
     return body
 
@@ -256,16 +286,15 @@ def incremental_embed_batch(table: KeyedTable, embed: Embed, now: Column, dead:
     asked once a batch, by the batch's ids, and is not shuffled.
     """
 
-    def body(batch: DataFrame, name: str) -> None:
-        arrived = spread(batch.select("id", "content", "created_at"), "id").persist()
-        pending = unprocessed_in(arrived, table.read(before=name))
-        embedded = embed(pending.withColumnRenamed("content", "text")).persist()
-        try:
-            table.append(embedded_rows(embedded, now), name, order=OLDEST_FIRST, known_new=True)
-            dead.write(failed_messages(embedded), name)
-        finally:
-            embedded.unpersist()
-            arrived.unpersist()
+    def body(batch: DataFrame, name: str) -> dict:
+        with held(spread(batch.select("id", "content", "created_at"), "id")) as arrived:
+            pending = unprocessed_in(arrived, table.read(before=name))
+            with held(embed(pending.withColumnRenamed("content", "text"))) as embedded:
+                table.append(embedded_rows(embedded, now), name, order=OLDEST_FIRST, known_new=True)
+                taken = embedded.select(
+                    F.col("id").alias("key"), F.col("text").alias("value"), F.lit(None).cast("string").alias("reject_reason"), "embed_error", "created_at"
+                )
+                return set_aside(refused(taken, taken, F.col("created_at")), dead, name, embeds=True)
 
     return body
 
@@ -327,29 +356,49 @@ def kafka_sink(servers: str) -> Body:
 
 
 class ProgressReport(StreamingQueryListener):
-    """Rows read, batches, last event time and failures per job."""
+    """Per job the rows read, batches, last trigger and error; given to ``run``, also the messages
+    processed, embedded, refused and failed, and the newest time of a message.
+
+    Counts are those of finished batches since the report was made: a batch that fails is counted
+    when its replay ends. Messages that a poller finds embedded already are not counted.
+    """
 
     def __init__(self):
         self.jobs: dict[str, dict] = {}
+        self._lock = threading.Lock()  # batches and events come from different threads
 
     def _job(self, id) -> dict:
         return self.jobs.setdefault(
             str(id),
-            {"name": None, "running": True, "batches": 0, "rows": 0, "last": None, "error": None},
+            {
+                "name": None, "running": True, "batches": 0, "rows": 0, "last": None, "error": None,
+                "processed": 0, "embedded": 0, "refused": 0, "failed": 0, "newest": None,
+            },
         )
 
+    def add(self, id, counts: dict) -> None:
+        with self._lock:
+            job = self._job(id)
+            for name in ("processed", "embedded", "refused", "failed"):
+                job[name] += counts[name]
+            times = [t for t in (job["newest"], counts["newest"]) if t is not None]
+            job["newest"] = max(times, default=None)
+
     def onQueryStarted(self, event):
-        self._job(event.id)["name"] = event.name
+        with self._lock:
+            self._job(event.id)["name"] = event.name
 
     def onQueryProgress(self, event):
-        job = self._job(event.progress.id)
-        job["batches"] += 1
-        job["rows"] += event.progress.numInputRows
-        job["last"] = event.progress.timestamp
+        with self._lock:
+            job = self._job(event.progress.id)
+            job["batches"] += 1
+            job["rows"] += event.progress.numInputRows
+            job["last"] = event.progress.timestamp
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        job = self._job(event.id)
-        job["running"], job["error"] = False, event.exception
+        with self._lock:
+            job = self._job(event.id)
+            job["running"], job["error"] = False, event.exception
