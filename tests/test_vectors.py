@@ -52,7 +52,7 @@ def test_stand_in_components_are_uniform_before_scaling(spark):
 def test_model_udf(spark):
     df = spark.createDataFrame([("a",), ("bb",)], "t string")
     length = e.model_udf(lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))
-    assert sorted(r[0] for r in df.select(length("t")).collect()) == [[1.0, 1.0], [2.0, 1.0]]
+    assert sorted(r[0].embedding for r in df.select(length("t")).collect()) == [[1.0, 1.0], [2.0, 1.0]]
 
 
 def test_model_by_name_with_failures(spark):
@@ -190,11 +190,41 @@ def test_a_failing_text_spares_its_batch(spark):
 
     rows = spark.createDataFrame([("a",), ("bad",), (None,), ("abc",)], "t string").coalesce(1)
     got = rows.select(e.model_udf(encoder)(F.col("t")).alias("v")).collect()
-    assert [r.v for r in got] == [[1.0, 1.0], None, None, [3.0, 1.0]]
+    assert [r.v.embedding for r in got] == [[1.0, 1.0], None, None, [3.0, 1.0]]
+    assert [r.v.error for r in got] == [None, "bad text", None, None]
+    counts = e.embed_counts(e.with_model(rows, encoder, "t"), text="t").first()
+    assert (counts.embedded, counts.failed, counts.without_text) == (2, 1, 1)
 
 
-def test_models_are_held_up_to_a_bound(monkeypatch):
-    monkeypatch.setattr(e, "_held_models", e.OrderedDict())
+def test_a_model_that_cannot_be_loaded_is_an_error_of_every_text(spark):
+    def encoder():
+        raise OSError("no such model")
+
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, text string")
+    got = {r.id: r for r in e.with_model(rows, encoder).collect()}
+    assert got[1].embed_error == "no such model" and got[2].embed_error is None
+    assert e.with_model(rows.limit(0), encoder).collect() == []
+
+
+def test_a_model_is_loaded_once_per_worker_process(spark, folder):
+    """Sixteen tasks and two jobs over few processes: no more loads than processes."""
+    import os
+    import uuid
+
+    def encoder():
+        open(f"{folder}/{uuid.uuid4().hex}-{os.getpid()}", "w").close()
+        return lambda texts: np.array([[float(os.getpid())] for _ in texts])
+
+    rows = spark.range(400).repartition(16).select(F.col("id").cast("string").alias("text"))
+    embedded = e.with_model(rows, encoder)
+    for _ in range(2):
+        assert embedded.filter("embed_error is null").count() == 400
+    loads = [name.split("-")[1] for name in os.listdir(folder)]
+    assert len(loads) == len(set(loads))
+
+
+def test_models_are_held_up_to_a_bound():
+    e._held_models().clear()
     loads = []
 
     def load(name):
@@ -206,6 +236,6 @@ def test_models_are_held_up_to_a_bound(monkeypatch):
     assert loads == ["a", "b"]
     for name in ["c", "d", "f"]:  # "b" was used longest ago and goes
         e._held_model("x", name, load)
-    assert len(e._held_models) == e.MODELS_HELD and ("x", "b") not in e._held_models
+    assert len(e._held_models()) == e.MODELS_HELD and ("x", "b") not in e._held_models()
     e._held_model("y", "a", load)  # another loader's model of the same name
     assert loads == ["a", "b", "c", "d", "f", "a"]

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,28 +61,58 @@ def embed_hash(text: Column, dim: int = 384) -> Column:
     return l2_normalize(bind(bind(F.md5(text), seeds), components))
 
 
+MODEL_RESULT = T.StructType(
+    [T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())]
+)
+
+
 def model_udf(make_encoder: Callable[[], Encoder], batch_size: int = 64):
-    """A Column function that runs a model on Arrow batches of text.
+    """A Column function that runs a model on Arrow batches of text: (embedding, error).
 
-    ``make_encoder`` runs once per task and loads the model there. A null text, and one the
-    model fails on, gives null; the rest of its batch is not affected.
+    ``make_encoder`` loads the model, once per worker process and not once per task; a model that
+    cannot be loaded is an error of every text. A text the model fails on has its error and no
+    embedding, and costs the rest of its batch nothing. A null text has neither.
     """
+    loader = hashlib.md5(cloudpickle.dumps(make_encoder)).hexdigest()
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = make_encoder()
+    @F.arrow_udf(MODEL_RESULT)
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             vectors: list = [None] * len(texts)
-            given = [i for i, text in enumerate(texts) if text is not None]
+            errors: list = [None] * len(texts)
+            given = np.flatnonzero(np.asarray(texts.is_valid()))
             for begin in range(0, len(given), batch_size):
                 part = given[begin : begin + batch_size]
-                for i, vector in zip(part, _encode_rows(encode, [texts.iloc[i] for i in part])[0]):
-                    vectors[i] = vector
-            yield pd.Series(vectors, dtype=object)
+                try:
+                    encode = _held_model(loader, "", lambda _: make_encoder())
+                    found = _encode_rows(encode, texts.take(pa.array(part)).to_pylist())
+                except Exception as error:
+                    found = [None] * len(part), [str(error) or type(error).__name__] * len(part)
+                for i, vector, problem in zip(part, *found):
+                    vectors[i], errors[i] = vector, problem
+            columns = [pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())]
+            yield pa.StructArray.from_arrays(columns, names=MODEL_RESULT.names)
 
     return predict
 
 
+def with_model(df: DataFrame, make_encoder: Callable[[], Encoder], text: str = "text", batch_size: int = 64) -> DataFrame:
+    """E1 over a table: adds ``embedding`` and ``embed_error`` (null when it worked, and for a null text)."""
+    kept = [c for c in df.columns if c not in ("embedding", "embed_error")]
+    ran = df.select(*kept, model_udf(make_encoder, batch_size)(F.col(text)).alias("_ran"))
+    return ran.select(*kept, F.col("_ran.embedding").alias("embedding"), F.col("_ran.error").alias("embed_error"))
+
+
+def embed_counts(embedded: DataFrame, *keys: str, text: str = "text") -> DataFrame:
+    """Rows ``embedded``, ``failed`` and ``without_text``, in all or by some columns."""
+    failed = F.col("embed_error").isNotNull()
+    return embedded.groupBy(*keys).agg(
+        F.count_if(F.col("embedding").isNotNull()).alias("embedded"),
+        F.count_if(failed).alias("failed"),
+        F.count_if(F.col(text).isNull() & ~failed).alias("without_text"),
+    )
+
+
 def _encode_rows(encode: Encoder, texts: list[str]) -> tuple[list, list]:
     """Vectors and errors of one batch; only a failing batch is retried row by row."""
     try:
@@ -99,20 +132,27 @@ def _encode_rows(encode: Encoder, texts: list[str]) -> tuple[list, list]:
         return vectors, errors
 
 
-# Models that a worker process keeps between tasks, the least recently used going first.
+# Models that a worker process keeps between tasks and jobs, the least recently used going first.
 MODELS_HELD = 4
-_held_models: OrderedDict[tuple[str, str], Encoder] = OrderedDict()
+
+
+def _held_models() -> OrderedDict[tuple[str, str], Encoder]:
+    """The process's models. This package travels with each job by value, so its own globals would
+    be new in every job; a module of that name outlasts them."""
+    home = sys.modules.setdefault("vectrail_held_models", ModuleType("vectrail_held_models"))
+    return home.__dict__.setdefault("models", OrderedDict())
 
 
 def _held_model(loader: str, name: str, load_model: Callable[[str], Encoder]) -> Encoder:
     """The model of that name, loaded once per worker process; ``loader`` tells loaders apart."""
-    if (loader, name) not in _held_models:
+    held = _held_models()
+    if (loader, name) not in held:
         encoder = load_model(name)
-        while len(_held_models) >= MODELS_HELD:
-            _held_models.popitem(last=False)
-        _held_models[loader, name] = encoder
-    _held_models.move_to_end((loader, name))
-    return _held_models[loader, name]
+        while len(held) >= MODELS_HELD:
+            held.popitem(last=False)
+        held[loader, name] = encoder
+    held.move_to_end((loader, name))
+    return held[loader, name]
 
 
 def embed_by_model(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vector as v
 from ..functions.embed import embed_by_model as by_model
 from ..functions.embed import embed_hash as hashed
-from ..functions.embed import hash_encoder, model_udf
+from ..functions.embed import embed_counts, hash_encoder, model_udf, with_model
 from ..session import spread
 from .inputs import sql_embed, table
 from .registry import plan
@@ -103,7 +103,51 @@ def embed_model(spark, sf):
     """The plug-in path: an encoder loaded in the workers, fed Arrow batches of text."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     encode = model_udf(lambda: hash_encoder(DIM))
-    return per_component(docs.select("doc_id", encode("text").alias("embedding")), "doc_id")
+    return per_component(docs.select("doc_id", encode("text").getField("embedding").alias("embedding")), "doc_id")
+
+
+def failing_encoder():
+    """An encoder that refuses texts of some lengths, and with them the batch they are in."""
+    encode = hash_encoder(DIM)
+
+    def run(texts):
+        for text in texts:
+            if len(text) % 7 == 3:
+                raise ValueError(f"{len(text)} characters")
+        return encode(texts)
+
+    return run
+
+
+FAILING_SQL = f"""
+given AS (SELECT doc_id, lang, CASE WHEN doc_id % 10 <> 0 THEN text END AS text FROM documents),
+judged AS (SELECT *, coalesce(length(text) % 7 = 3, false) AS fails FROM given)"""
+
+
+def failing_documents(spark, sf):
+    """Documents, some without a text, through a model that fails on some."""
+    text = F.when(F.col("doc_id") % 10 != 0, F.col("text")).alias("text")
+    return with_model(spread(table(spark, sf, "documents").select("doc_id", "lang", text), "doc_id"), failing_encoder)
+
+
+@plan(f"""
+WITH {FAILING_SQL}, fine AS (SELECT doc_id, text FROM judged WHERE text IS NOT NULL AND NOT fails),
+{sql_embed('fine', 'embedded', 'text', DIM)}
+SELECT j.doc_id, CASE WHEN fails THEN length(j.text) || ' characters' END AS embed_error,
+       round(CAST(embedding[1] AS DOUBLE), 5) AS first_value
+FROM judged j LEFT JOIN embedded e ON e.doc_id = j.doc_id""")
+def embed_model_errors(spark, sf):
+    """A failing text has its error; the rest of its batch has vectors."""
+    first = F.round(F.get("embedding", 0).cast("double"), 5).alias("first_value")
+    return failing_documents(spark, sf).select("doc_id", "embed_error", first)
+
+
+@plan(f"""
+WITH {FAILING_SQL}
+SELECT lang, count(*) FILTER (text IS NOT NULL AND NOT fails) AS embedded, count(*) FILTER (fails) AS failed,
+       count(*) FILTER (text IS NULL) AS without_text FROM judged GROUP BY lang""")
+def embed_model_counts(spark, sf):
+    return embed_counts(failing_documents(spark, sf), "lang")
 
 
 MODELS = {"small": 16, "large": 32}
