@@ -89,7 +89,7 @@ def test_remote_encoder(spark):
                 return 200, {"embedding": "none"}
             return 200, {"embedding": [1, 2]}
 
-        return e.remote_encoder(post)
+        return e.remote_encoder(post, wait=0)
 
     df = spark.createDataFrame([("fine",), ("down",), ("odd",)], "text string")
     out = {r.text: r for r in e.embed_by_model(df, load, "remote").collect()}
@@ -97,6 +97,51 @@ def test_remote_encoder(spark):
     assert "500" in out["down"].embed_error and out["odd"].embedding is None
 
 
+def test_remote_requests_keep_order_and_a_bound():
+    """Answers come in the order asked though later requests end first; never more than three are open."""
+    import threading
+    import time
+
+    lock, state = threading.Lock(), {"open": 0, "most": 0}
+
+    def post(body):
+        with lock:
+            state["open"] += 1
+            state["most"] = max(state["most"], state["open"])
+        time.sleep(0.03 if int(body["text"]) % 3 == 0 else 0.005)
+        with lock:
+            state["open"] -= 1
+        return 200, {"embedding": [int(body["text"])]}
+
+    got = e.remote_encoder(post, at_once=3)([str(i) for i in range(30)])
+    assert [int(v[0]) for v in got] == list(range(30)) and 1 < state["most"] <= 3
+
+
+def test_remote_requests_are_sent_again_only_where_it_helps(monkeypatch):
+    sent, waits = {}, []
+    monkeypatch.setattr(e.time, "sleep", waits.append)
+
+    def post(body):
+        text = body["text"]
+        sent[text] = sent.get(text, 0) + 1
+        if text == "busy" and sent[text] < 3:
+            return 429, {}
+        if text == "cut" and sent[text] < 2:
+            raise ConnectionError("reset")
+        if text == "down":
+            return 503, {}
+        if text == "wrong":
+            return 400, {}
+        return 200, {"embedding": [1.0]}
+
+    encode = e.remote_encoder(post, at_once=1, retries=3, wait=0.5)
+    vectors, errors = e._encode_rows(encode, ["busy", "cut", "down", "wrong", "fine"])
+    assert sent == {"busy": 3, "cut": 2, "down": 4, "wrong": 1, "fine": 1}
+    assert [v is None for v in vectors] == [False, False, True, True, False]
+    assert "503" in errors[2] and "400" in errors[3] and errors[4] is None
+    assert waits == [0.5, 1.0, 0.5, 0.5, 1.0, 2.0]
+
+
 def brute(queries, corpus, k):
     out = {}
     for qid, q in queries:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import sys
+import time
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from types import ModuleType
 
 import numpy as np
@@ -24,7 +26,8 @@ from .vector import l2_normalize
 M1, A1 = 2147483563, 40014
 M2, A2 = 2147483399, 40692
 
-Encoder = Callable[[Sequence[str]], np.ndarray]
+# Texts to as many vectors; an error may stand in the place of a text's vector.
+Encoder = Callable[[Sequence[str]], np.ndarray | list]
 
 
 def jump_multipliers(dim: int) -> tuple[list[int], list[int]]:
@@ -114,12 +117,17 @@ def embed_counts(embedded: DataFrame, *keys: str, text: str = "text") -> DataFra
 
 
 def _encode_rows(encode: Encoder, texts: list[str]) -> tuple[list, list]:
-    """Vectors and errors of one batch; only a failing batch is retried row by row."""
+    """Vectors and errors of one batch; only a failing batch is retried row by row. An encoder that
+    knows which text failed gives the error in the vector's place, and is not asked again."""
     try:
         vectors = encode(texts)
         if len(vectors) != len(texts):
             raise ValueError(f"model gave {len(vectors)} vectors for {len(texts)} texts")
-        return [np.asarray(v, dtype=np.float32) for v in vectors], [None] * len(texts)
+        failed = [isinstance(v, Exception) for v in vectors]
+        return (
+            [None if bad else np.asarray(v, dtype=np.float32) for v, bad in zip(vectors, failed)],
+            [(str(v) or type(v).__name__) if bad else None for v, bad in zip(vectors, failed)],
+        )
     except Exception:
         vectors, errors = [], []
         for text in texts:
@@ -204,20 +212,44 @@ def embed_by_model(
     return df.mapInPandas(run, schema)
 
 
-def remote_encoder(post: Callable[[dict], tuple[int, dict]]) -> Encoder:
+def remote_encoder(
+    post: Callable[[dict], tuple[int, dict]], at_once: int = 8, retries: int = 3, wait: float = 0.2
+) -> Encoder:
     """An encoder that asks a service; ``post`` sends one JSON body and gives back
-    status and JSON. Anything but 200 with a list under ``embedding`` is an error."""
+    status and JSON. Anything but 200 with a list under ``embedding`` is an error.
 
-    def encode(texts: Sequence[str]) -> list[np.ndarray]:
-        vectors = []
-        for text in texts:
-            status, body = post({"text": text})
-            if status != 200:
-                raise IOError(f"embedding request failed with status {status}")
-            if not isinstance(body.get("embedding"), list):
-                raise IOError("embedding response holds no list")
-            vectors.append(np.asarray(body["embedding"], dtype=np.float32))
-        return vectors
+    A task has at most ``at_once`` requests open, so tasks times ``at_once`` is what the service
+    sees. A request that found the service busy or out of reach (429, 5xx, ``OSError``) is sent again up
+    to ``retries`` times, after ``wait`` seconds that double each time. A request that fails for good
+    costs only its own text; vectors come in the order of the texts.
+    """
+
+    def ask(text: str) -> np.ndarray:
+        for attempt in range(retries + 1):
+            try:
+                status, body = post({"text": text})
+                problem = OSError(f"embedding request failed with status {status}")
+                again = status == 429 or status >= 500
+            except OSError as error:
+                status, problem, again = None, error, True
+            if status == 200:
+                if not isinstance(body.get("embedding"), list):
+                    raise OSError("embedding response holds no list")
+                return np.asarray(body["embedding"], dtype=np.float32)
+            if not again or attempt == retries:
+                break
+            time.sleep(wait * 2**attempt)
+        raise problem
+
+    def answer(text: str) -> np.ndarray | Exception:
+        try:
+            return ask(text)
+        except Exception as error:
+            return error
+
+    def encode(texts: Sequence[str]) -> list[np.ndarray | Exception]:
+        with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(texts)))) as pool:
+            return list(pool.map(answer, texts))
 
     return encode
 
