@@ -225,6 +225,25 @@ def test_catalog(spark, folder):
     assert catalog.drop_all(confirm=True) == 1 and catalog.list().count() == 0
 
 
+def test_catalog_tables_keep_their_kind(spark, folder):
+    """A writer's table fits vectors and is found again as such; it cannot become a managed one."""
+    now = F.timestamp_seconds(F.lit(100))
+    Catalog(spark, folder).create("w", 3, now=now, kind="writer")
+    again = Catalog(spark, folder)
+    items = inserted(spark, ("a", "x", [1.0], "s"), ("b", "y", [1.0, 2.0, 3.0, 4.0], None), ("c", "z", None, None), ("d", None, None, None))
+    assert [(r.id, r.reject_reason) for r in again.insert("w", items, now).collect()] == [("d", "missing_text")]
+    got = {r.id: (r.embedding, r.source, r.metadata) for r in again.table("w").read().collect()}
+    assert got == {"a": ([1.0, 0.0, 0.0], "s", "{}"), "b": ([1.0, 2.0, 3.0], "cli", "{}"), "c": ([0.0, 0.0, 0.0], "cli", "{}")}
+    with pytest.raises(ValueError):
+        again.create("w", 3, now=now)
+    with pytest.raises(ValueError):
+        again.create("v", 3, now=now, kind="other")
+    again.create("m", 3, now=now)
+    info = {r.table_name: (r.kind, r.row_count, r.sample_id) for r in again.describe().collect()}
+    assert info == {"w": ("writer", 3, "a"), "m": ("managed", 0, None)}
+    assert again.info("w")["row_count"] == 3 and Catalog(spark, f"{folder}/none").describe().collect() == []
+
+
 def test_unknown_table_shape_is_refused(spark):
     with pytest.raises(ValueError):
         keyed.adaptive_rows(inserted(spark, ("a", "x", [1.0], "s")), ["foo", "bar"], 3, F.current_timestamp())

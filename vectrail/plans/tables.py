@@ -183,31 +183,89 @@ def orphan_embeddings(spark, sf):
 
 
 # --- registry ----------------------------------------------------------------------------
-def tables_of(spark, sf):
-    """Registry entries read off the data: one table per document source."""
-    return table(spark, sf, "documents").groupBy(F.col("source").alias("table_name")).agg(
+def catalog_of(spark, sf, label, kind):
+    """A catalog whose entries are read off the data: one table per document source."""
+    catalog = registry.Catalog(spark, new_scratch(spark, label))
+    tables = table(spark, sf, "documents").groupBy(F.col("source").alias("table_name")).agg(
         F.concat(F.lit("documents in "), F.min("lang")).alias("description"),
         F.lit(384).alias("vector_dimension"),
         F.lit(registry.DEFAULT_MODEL).alias("model_name"),
+        F.lit(kind).alias("kind"),
     )
+    catalog.create_all(tables, now())
+    return catalog
 
 
 @plan(f"""
 SELECT source AS table_name, 'documents in ' || min(lang) AS description, 384 AS vector_dimension,
        '{registry.DEFAULT_MODEL}' AS model_name FROM documents GROUP BY source ORDER BY source""")
 def list_tables(spark, sf):
-    return registry.list_tables(tables_of(spark, sf))
+    return catalog_of(spark, sf, "list", "managed").list().drop("created_at")
+
+
+def given_vectors(spark, sf):
+    """Vectors as records to insert: some without a text, some cut short."""
+    id = F.col("vec_id").cast("string")
+    cut = F.when(F.col("vec_id") % 5 == 1, F.slice("embedding", 1, 60)).otherwise(F.col("embedding"))
+    return table(spark, sf, "embeddings").select(
+        id.alias("id"),
+        F.when(F.col("vec_id") % 7 != 2, F.concat(F.lit("vector "), id)).alias("text"),
+        cut.alias("embedding"),
+        F.when(F.col("vec_id") % 3 != 0, F.concat(F.lit("m"), F.col("label"))).alias("source"),
+        F.lit(None).cast("timestamp").alias("timestamp"),
+        F.lit(None).cast("string").alias("metadata"),
+    )
 
 
-@plan(f"""
-SELECT source AS table_name, 384 AS vector_dimension, count(*) FILTER (lang = 'en') AS row_count,
-       min(doc_id) FILTER (lang = 'en') AS sample_id
-FROM documents GROUP BY source""")
+@plan("""
+WITH languages AS (SELECT 'documents in ' || lang AS table_name, count(*) FILTER (text <> '') AS row_count,
+                          min(CAST(doc_id AS VARCHAR)) FILTER (text <> '') AS sample_id
+                   FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+SELECT table_name, 64 AS vector_dimension, row_count, sample_id FROM languages
+UNION ALL SELECT 'nothing yet', 64, 0, NULL""")
 def table_info(spark, sf):
-    english = table(spark, sf, "documents").filter("lang = 'en'")
-    counts = english.groupBy(F.col("source").alias("table_name")).agg(
-        F.count("*").alias("row_count"), F.min("doc_id").alias("sample_id")
-    )
-    return registry.with_row_counts(tables_of(spark, sf), counts).select(
-        "table_name", "vector_dimension", "row_count", "sample_id"
+    """Dimension, rows and a sample of every table of a catalog: one per language, and one that is empty."""
+    catalog = registry.Catalog(spark, new_scratch(spark, "info"))
+    docs = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"), "lang",
+        F.lit(None).cast("array<float>").alias("embedding"), "source",
+        F.lit(None).cast("timestamp").alias("timestamp"), F.lit(None).cast("string").alias("metadata"),
     )
+    languages = sorted(r.lang for r in docs.filter("lang is not null").select("lang").distinct().collect())
+    named = spark.createDataFrame([(f"documents in {x}",) for x in languages] + [("nothing yet",)], "table_name string")
+    catalog.create_all(named.select("table_name", F.lit("").alias("description"), F.lit(64).alias("vector_dimension"),
+                                    F.lit(registry.DEFAULT_MODEL).alias("model_name"), F.lit("writer").alias("kind")), now())
+    for lang in languages:
+        catalog.insert(f"documents in {lang}", docs.filter(F.col("lang") == lang), now())
+    return catalog.describe().select("table_name", "vector_dimension", "row_count", "sample_id")
+
+
+@plan("""
+WITH given AS (
+  SELECT vec_id, CAST(vec_id AS VARCHAR) AS id, vec_id % 7 <> 2 AS has_text, vec_id % 5 = 1 AS short,
+         CASE WHEN vec_id % 3 <> 0 THEN 'm' || label ELSE 'cli' END AS source, embedding
+  FROM embeddings)
+SELECT 'managed' AS kind, id, source, 64 AS dimension, round(CAST(embedding[64] AS DOUBLE), 5) AS last_value, NULL AS reject_reason
+FROM given WHERE has_text AND NOT short
+UNION ALL SELECT 'managed', id, source, CASE WHEN short THEN 60 ELSE 64 END, NULL,
+  CASE WHEN has_text THEN 'wrong_dimension' ELSE 'missing_text' END FROM given WHERE short OR NOT has_text
+UNION ALL SELECT 'writer', id, source, 64, CASE WHEN short THEN 0.0 ELSE round(CAST(embedding[64] AS DOUBLE), 5) END, NULL
+FROM given WHERE has_text
+UNION ALL SELECT 'writer', id, source, CASE WHEN short THEN 60 ELSE 64 END, NULL, 'missing_text' FROM given WHERE NOT has_text""")
+def catalog_insert(spark, sf):
+    """The same records into a table of each kind: a managed one refuses short vectors, a writer's pads them."""
+    catalog, given = registry.Catalog(spark, new_scratch(spark, "catalog")), given_vectors(spark, sf)
+    parts = []
+    for kind, id, source in (("managed", "message_id", "model_name"), ("writer", "id", "source")):
+        catalog.create(f"{kind} vectors", 64, kind=kind, now=now())
+        refused = catalog.insert(f"{kind} vectors", given, now())
+        kept = catalog.table(f"{kind} vectors").read()
+        parts.append(kept.select(
+            F.lit(kind).alias("kind"), F.col(id).alias("id"), F.col(source).alias("source"), F.size("embedding").alias("dimension"),
+            F.round(F.get("embedding", 63).cast("double"), 5).alias("last_value"), F.lit(None).cast("string").alias("reject_reason"),
+        ))
+        parts.append(refused.select(
+            F.lit(kind).alias("kind"), "id", F.coalesce("source", F.lit("cli")).alias("source"), F.size("embedding").alias("dimension"),
+            F.lit(None).cast("double").alias("last_value"), "reject_reason",
+        ))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -104,6 +104,7 @@ REGISTRY = _struct(
     ("model_name", STRING),
     ("created_at", TIMESTAMP),
 )
+CATALOG = T.StructType([*REGISTRY.fields, T.StructField("kind", STRING)])
 
 # --- run results ------------------------------------------------------------------
 RUN_RESULT = _struct(
