@@ -136,3 +136,32 @@ def test_categories(spark):
     assert ids(corpora.filter_categories(df, ["cs.LG"])) == [2]
     assert ids(corpora.filter_categories(df, ["cs.LG"], split_tokens=True)) == [1, 2]
     assert ids(corpora.filter_categories(df, None)) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("empty", [0, 70, 2000])
+def test_a_cap_cleans_only_the_documents_it_needs(spark, monkeypatch, empty):
+    """The first documents may hold no text: the search goes on behind them, and never over all of a large corpus."""
+    cleaned = spark.sparkContext.accumulator(0)
+    plain = corpora.clean_latex
+
+    @F.udf("string")
+    def seen(text):
+        cleaned.add(1)
+        return text
+
+    monkeypatch.setattr(corpora, "clean_latex", lambda c: plain(seen(c)))
+    df = spark.range(3000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") >= empty, F.lit("Title")).alias("title"),
+        F.when(F.col("id") >= empty, F.lit("some words")).alias("abstract"),
+    )
+    got = corpora.capped_chunks(df, "arxiv", 128, 20)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(empty, empty + 20))
+    if empty < 100:
+        assert 0 < cleaned.value < 3000
+
+
+def test_a_cap_beyond_the_corpus_gives_all(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "t", "a b"), (2, "t", "c"), (3, " ", "")], "doc_id int, title string, article string")
+    assert sorted(r.doc_id for r in corpora.capped_chunks(df, "cc_news", 128, 50).collect()) == [2, 2]
+    assert corpora.capped_chunks(df.limit(0), "cc_news", 128, 5).collect() == []
+    assert corpora.sampled_chunks(df, "cc_news", 128, 5).collect() == []

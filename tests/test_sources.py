@@ -76,6 +76,14 @@ def test_ndjson(spark, tmp_path):
     assert len(got["none"]) == 32 and got["none"] != got["empty"]
 
 
+def test_ndjson_files_of_one_name_give_their_own_messages(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.jsonl").write_text(json.dumps({"text": "equal"}))
+    read = lambda: sorted(r.id for r in files.ndjson(spark, str(tmp_path / "*")).collect())
+    assert len(set(read())) == 2 and read() == read()
+
+
 def test_lines(spark, tmp_path):
     (tmp_path / "x").write_text("one\n\n  two \n \n")
     assert sorted(r.text for r in files.lines(spark, str(tmp_path)).collect()) == ["one", "two"]

@@ -23,6 +23,10 @@ from .limits import first_rows
 NEWS, PAPERS, ENCYCLOPEDIA = "cc_news", "arxiv", "wikipedia"
 
 
+# Growth of the part of a corpus in which a capped number of documents with a text is looked for.
+STEP = 4
+
+
 def filter_categories(
     papers: DataFrame, categories: Sequence[str] | None, split_tokens: bool = False
 ) -> DataFrame:
@@ -101,8 +105,9 @@ def capped_chunks(
 ) -> DataFrame:
     """The first ``max_chunks`` chunks in document order.
 
-    Every composed document yields at least one chunk, so no more than ``max_chunks`` of
-    them are chunked at all.
+    Every composed document yields at least one chunk, so ``max_chunks`` of them that hold a text are
+    enough. They are looked for among the first documents by key, four times as many in each step until
+    they are found: only these are read whole and cleaned, however large the corpus.
     """
     check_budget(max_chunks, "max_chunks")
     title, body, clean = {
@@ -110,11 +115,14 @@ def capped_chunks(
         PAPERS: ("title", "abstract", clean_latex),
         ENCYCLOPEDIA: ("title", "text", clean_wiki),
     }[dataset]
-    non_empty = df.filter(
-        compose_document(clean(F.col(title)), clean(F.col(body))).rlike(r"(?U)[^\s\x1c-\x1f]")
-    )
-    first = first_rows(non_empty, max_chunks, doc_id)
-    chunks = CHUNKERS[dataset](first, budget, doc_id)
+    has_text = compose_document(clean(F.col(title)), clean(F.col(body))).rlike(r"(?U)[^\s\x1c-\x1f]")
+    total, taken = df.count(), max_chunks
+    while True:
+        found = first_rows(df, taken, doc_id).filter(has_text)
+        if taken >= total or found.count() >= max_chunks:
+            break
+        taken *= STEP
+    chunks = CHUNKERS[dataset](first_rows(found, max_chunks, doc_id), budget, doc_id)
     return first_rows(chunks, max_chunks, doc_id, "chunk_index")
 
 

@@ -133,6 +133,13 @@ def corpus_chunk_cap(spark, sf):
     return shown(ops.capped_chunks(news(spark, sf), "cc_news", BUDGET, CAP))
 
 
+@plan(f"""WITH RECURSIVE {PAPERS}, first AS (SELECT * FROM papers ORDER BY doc_id LIMIT {CAP // 10}),
+{sql_word_chunks('first', BUDGET)} SELECT {SHOWN} FROM chunks ORDER BY doc_id, chunk_index LIMIT {CAP}""")
+def corpus_chunk_sample(spark, sf):
+    """At most so many chunks of a tenth as many documents."""
+    return shown(ops.sampled_chunks(papers(spark, sf), "arxiv", BUDGET, CAP))
+
+
 def all_datasets(spark, sf):
     return ops.dataset_chunks(
         {

@@ -30,24 +30,31 @@ def ndjson(
     files: str = NDJSON_FILES,
 ) -> DataFrame:
     """Records with a string under ``text_field``; blank lines, bad JSON, other types
-    and blank texts are skipped. A missing id is derived from file and text."""
+    and blank texts are skipped. A missing id is derived from the file's whole path and the text, so
+    files of one name in two folders give two messages and reading again gives the same ids; equal
+    lines without an id in one file are one message."""
     v = F.col("_v")
     lines = (
         spark.read.option("pathGlobFilter", files)
         .text(path)
-        .select(F.col("_metadata.file_name").alias("file"), parsed(F.col("value")).alias("_v"))
+        .select(
+            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_path").alias("_path"),
+            parsed(F.col("value")).alias("_v"),
+        )
     )
     text, id_ = f"$.{text_field}", f"$.{id_field}"
     return (
         lines.select(
             "file",
+            "_path",
             truthy_text(v, id_).alias("given_id"),
             F.when(json_type(v, text) == "STRING", text_at(v, text)).alias("text"),
         )
         .filter(~is_blank(F.col("text")))
         .select(
             "file",
-            F.coalesce("given_id", F.md5(F.concat_ws(":", "file", "text"))).alias("id"),
+            F.coalesce("given_id", F.md5(F.concat_ws(":", "_path", "text"))).alias("id"),
             "text",
         )
     )
