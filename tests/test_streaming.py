@@ -265,3 +265,65 @@ def test_a_failing_batch_leaves_nothing_cached(spark, folder):
     with pytest.raises(RuntimeError):
         jobs.embed_batch(EMBED, broken, now(), None)(log_rows(spark, folder, text("a", "one")), "0")
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+
+
+RETRIED = '''
+import sys
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from vectrail.operators.tables import KeyedTable
+from vectrail.schemas import STREAM_EMBEDDINGS
+from vectrail.sources import log
+from vectrail.streaming import jobs
+
+folder = sys.argv[1]
+spark = (
+    SparkSession.builder.master("local[2,3]").config("spark.sql.shuffle.partitions", "2")
+    .config("spark.ui.enabled", "false").config("spark.checkpoint.dir", folder + "/shared").getOrCreate()
+)
+
+
+def lost_once(batches):
+    """Some rows, and then the first attempt of every task is gone."""
+    for batch in batches:
+        yield batch
+        if TaskContext.get().attemptNumber() == 0 and batch.num_rows:
+            raise OSError("lost")
+
+
+def embed(rows):
+    fails = F.when(F.col("text") == "text 3", F.lit("no"))
+    vectors = rows.withColumns({"embedding": F.array(F.lit(1.0).cast("float")), "model_name": F.lit("m"), "embed_error": fails})
+    return vectors.mapInArrow(lost_once, vectors.schema)
+
+
+now = F.timestamp_seconds(F.lit(100))
+value = F.concat(F.lit('{"id": "'), "id", F.lit('", "text": "text '), "id", F.lit('", "timestamp": 5}'))
+rows = spark.range(40).select(F.col("id").cast("string").alias("id"), F.col("id").alias("n"))
+log.write_files(log.to_log(rows, F.col("id"), value, "text-messages", F.col("n"), now, F.lit(0)), folder + "/log")
+table, dead = KeyedTable(spark, folder + "/table", STREAM_EMBEDDINGS, key=["id"]), jobs.DeadLetters(folder + "/dead")
+report = jobs.ProgressReport()
+body = jobs.embed_store_batch(table, embed, now, dead)
+source = log.stream(spark, folder + "/log", topic="text-messages")
+jobs.drain(jobs.run(source, "retried", folder + "/checkpoint", body, once=True, report=report))
+job = next(iter(report.jobs.values()))
+ids = [r.id for r in table.read().select("id").collect()]
+print("RESULT", len(ids), len(set(ids)), dead.read(spark).count(), job["processed"], job["embedded"], job["failed"])
+'''
+
+
+def test_tasks_that_are_lost_once_write_every_message_once(folder):
+    """A session of its own, whose tasks may fail twice; every embedding task fails in its first attempt."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(jobs.__file__)))
+    env = os.environ | {"PYTHONPATH": os.path.dirname(root)}
+    ran = subprocess.run([sys.executable, "-c", RETRIED, folder], env=env, capture_output=True, text=True, timeout=240)
+    assert "lost" in ran.stderr, ran.stderr[-2000:]
+    assert "RESULT 39 39 1 40 39 1" in ran.stdout, ran.stdout[-500:] + ran.stderr[-2000:]
