@@ -1,9 +1,11 @@
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
 from vectrail.functions.embed import embed_hash
 from vectrail.operators.tables import KeyedTable, routed_table
-from vectrail.schemas import EMBEDDINGS, STREAM_EMBEDDINGS, TEXT_EMBEDDINGS, TEXT_MESSAGES
+from vectrail.schemas import EMBEDDINGS, LOG, STREAM_EMBEDDINGS, TEXT_EMBEDDINGS, TEXT_MESSAGES
 from vectrail.sources import log
 from vectrail.streaming import jobs
 
@@ -327,3 +329,42 @@ def test_tasks_that_are_lost_once_write_every_message_once(folder):
     ran = subprocess.run([sys.executable, "-c", RETRIED, folder], env=env, capture_output=True, text=True, timeout=240)
     assert "lost" in ran.stderr, ran.stderr[-2000:]
     assert "RESULT 39 39 1 40 39 1" in ran.stdout, ran.stdout[-500:] + ran.stderr[-2000:]
+
+
+def read_job(spark, folder, **options):
+    """A job that keeps what it reads, a folder per batch; gives the sizes of its batches and the keys read."""
+    source = log.stream(spark, f"{folder}/log", topic="text-messages", checkpoint=f"{folder}/job", **options)
+    body = lambda batch, name: batch.write.mode("overwrite").parquet(f"{folder}/read/{name}")
+    jobs.drain(jobs.run(source, "reader", f"{folder}/job", body, once=True))
+    if not glob.glob(f"{folder}/read/*"):
+        return [], []
+    read = [spark.read.schema(LOG).parquet(f) for f in sorted(glob.glob(f"{folder}/read/*"))]
+    return [df.count() for df in read], sorted(r.key for df in read for r in df.collect())
+
+
+def test_job_from_latest_reads_only_what_came_later_and_what_came_while_it_was_down(spark, folder):
+    produce(spark, f"{folder}/log", text("a", "old"), text("b", "old"))
+    assert read_job(spark, folder, starting=log.LATEST)[1] == []
+    produce(spark, f"{folder}/log", text("c", "new"))
+    produce(spark, f"{folder}/log", text("d", "newer"))
+    assert read_job(spark, folder, starting=log.LATEST)[1] == ["c", "d"]
+    produce(spark, f"{folder}/log", text("e", "newest"))
+    assert read_job(spark, folder, starting=log.EARLIEST)[1] == ["c", "d", "e"]
+
+
+def test_job_from_given_offsets_and_bad_starts(spark, folder):
+    produce(spark, f"{folder}/log", *[text(k, "x") for k in "abcd"])
+    assert read_job(spark, folder, starting={"text-messages": {0: 2, 7: 5}, "other": {0: 9}})[1] == ["c", "d"]
+    with pytest.raises(ValueError):
+        log.stream(spark, f"{folder}/log", starting="yesterday", checkpoint=f"{folder}/other")
+    with pytest.raises(ValueError):
+        log.stream(spark, f"{folder}/log", starting=log.LATEST)
+
+
+def test_earliest_reads_the_same_rows_as_the_batch_in_bounded_batches(spark, folder):
+    rows = spark.range(95).coalesce(1).select(F.col("id").cast("string").alias("k"), "id")
+    placed = log.to_log(rows, F.col("k"), F.lit("v"), "text-messages", F.col("id"), now(), F.lit(0))
+    log.write_files(placed, f"{folder}/log", per_file=10)
+    sizes, keys = read_job(spark, folder, starting=log.EARLIEST, max_per_trigger=35, per_file=10)
+    assert max(sizes) == 30 and sum(sizes) == 95
+    assert keys == sorted(r.key for r in log.batch(spark, f"{folder}/log", topic="text-messages").collect())

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import embed_hash
 from ..operators.tables import KeyedTable, routed_table
-from ..schemas import EMBEDDINGS, STREAM_EMBEDDINGS, TEXT_EMBEDDINGS, TEXT_MESSAGES
+from ..schemas import EMBEDDINGS, LOG, STREAM_EMBEDDINGS, TEXT_EMBEDDINGS, TEXT_MESSAGES
 from ..session import new_scratch
 from ..sources import log
 from ..streaming import jobs
@@ -231,3 +231,47 @@ def stream_dead_letter(spark, sf):
     return spark.read.parquet(dead.path).groupBy("reject_reason").agg(
         F.count("*").alias("messages"), F.countDistinct("key").alias("keys")
     )
+
+
+BY_TURN = 1_000_000_000
+
+
+def _read_from(spark, sf, starting, label):
+    """What a job reads of the conversations, turn by turn in one log, when only their turns 0 and 1
+    were there at its first start; batches of at most 2,000 messages."""
+    root = new_scratch(spark, label)
+    turns = log.batch(spark, conversation_files(spark, sf)).withColumn(
+        "offset", F.col("offset") % 1000 * BY_TURN + F.floor(F.col("offset") / 1000)
+    )
+    early = F.col("offset") < 2 * BY_TURN
+
+    def source():
+        return log.stream(
+            spark, f"{root}/log", topic="text-messages", starting=starting,
+            max_per_trigger=2000, per_file=500, checkpoint=f"{root}/checkpoint-{label}",
+        )
+
+    log.write_files(turns.filter(early), f"{root}/log", per_file=500)
+    source()
+    log.write_files(turns.filter(~early), f"{root}/log", per_file=500)
+    run_once(source(), label, root, lambda batch, name: batch.write.mode("overwrite").parquet(f"{root}/read/{name}"))
+    found = spark.read.schema(LOG).parquet(f"{root}/read/*")
+    return found.select("partition", "offset", F.md5(F.get_json_object("value", "$.text")).alias("text"))
+
+
+TURNS = f"""
+SELECT CAST(conv_id % 4 AS INTEGER) AS partition, turn * {BY_TURN} + conv_id AS "offset",
+       md5(CASE WHEN role <> 'system' THEN text END) AS text
+FROM conversations"""
+
+
+@plan(f"{TURNS} WHERE turn >= 2")
+def stream_from_latest(spark, sf):
+    """Only what came after the job's first start."""
+    return _read_from(spark, sf, log.LATEST, "from-latest")
+
+
+@plan(f"{TURNS} WHERE turn >= 3 OR conv_id % 4 = 3")
+def stream_from_offsets(spark, sf):
+    """Three partitions from their fourth turns, the last from its first message."""
+    return _read_from(spark, sf, {"text-messages": {p: 3 * BY_TURN for p in range(3)}}, "from-offsets")

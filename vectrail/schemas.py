@@ -60,6 +60,8 @@ LOG = _struct(
     ("timestamp", TIMESTAMP),
 )
 
+POSITIONS = _struct(("topic", STRING), ("partition", INT), ("skipped", LONG))
+
 # --- keyed tables ----------------------------------------------------------------
 TEXT_MESSAGES = _struct(
     ("id", STRING),
