@@ -105,3 +105,17 @@ def test_times_out_of_range_and_text_metadata(spark):
     assert [got[str(i)].reject_reason for i in range(7)] == ["invalid_timestamp"] * 3 + [None] * 4
     assert got["3"].t == 1700000000500000 and got["4"].t == 5000000
     assert [got[str(i)].metadata for i in (4, 5, 6)] == ['"x"', "[1]", "{}"]
+
+
+def test_values_that_are_no_objects_and_metadata_of_every_type(spark):
+    values = [
+        ' \n{"id": 7, "text": ["a", 1], "model": 0, "model_name": "m"}', '[{"id": "x"}]', '"{bare}"', "12.5", "null", '{"id": null}',
+    ]
+    rows = spark.createDataFrame([("k", v) for v in values], "key string, value string")
+    got = [tuple(r)[2:] for r in m.parse_text_messages(rows).collect()]
+    assert got[0] == (True, "7", '["a",1]', None, None, "m", True, True)
+    assert [r[1:3] for r in got[1:5]] == [("k", '[{"id":"x"}]'), ("k", "{bare}"), ("k", "12.5"), ("k", None)]
+    assert not any(r[6] or r[7] for r in got[1:5]) and got[5][1] is None and got[5][6] and not got[5][7]
+    given = {'{"a": 1}': '{"a":1}', "[1, 2]": "[1,2]", '"s"': '"s"', "null": "{}", "false": "false", "0": "0"}
+    rows = spark.createDataFrame([("k", f'{{"metadata": {g}}}') for g in given], "key string, value string")
+    assert [r.metadata for r in m.normalize_embedding_messages(rows, now()).collect()] == list(given.values())

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import bind, is_blank
+from .text import is_blank
 
 UNKNOWN = "unknown"
 DEFAULT_TABLE = "embeddings"
@@ -77,18 +77,26 @@ def text_at(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
-def truthy_text(v: Column, path: str) -> Column:
-    """The value under ``path`` as text, or null when Python would call it false."""
-    kind, text = json_type(v, path), text_at(v, path)
+def is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+
+
+def unless_false(kind: Column, text: Column) -> Column:
+    """A value's text, or null when Python would call the value false."""
     return (
         F.when(kind == "STRING", F.nullif(text, F.lit("")))
         .when(kind == "BOOLEAN", F.nullif(text, F.lit("false")))
-        .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.when(text.try_cast("double") != 0, text))
+        .when(is_number(kind), F.when(text.try_cast("double") != 0, text))
         .when(text.isin("[]", "{}"), None)
         .otherwise(text)
     )
 
 
+def truthy_text(v: Column, path: str) -> Column:
+    """The value under ``path`` as text, or null when Python would call it false."""
+    return unless_false(json_type(v, path), text_at(v, path))
+
+
 def parse_timestamp_text(text: Column) -> Column:
     """ISO-8601 text to a timestamp; text without a zone is UTC, junk is null."""
     dated = text.rlike(r"^\d{4}-\d{2}-\d{2}")
@@ -112,30 +120,73 @@ def instant(seconds: Column) -> Column:
     return F.timestamp_micros(F.round(F.when(inside, seconds) * 1e6).try_cast("bigint"))
 
 
+def time_of(kind: Column, text: Column, seconds: Column, now: Column) -> Column:
+    """The time of a value of that JSON type, text and number, see ``normalize_timestamp``."""
+    return F.when(is_number(kind), instant(seconds)).otherwise(
+        F.coalesce(F.when(kind == "STRING", parse_timestamp_text(text)), now)
+    )
+
+
 def normalize_timestamp(v: Column, path: str, now: Column) -> Column:
     """JSON number -> epoch seconds, ISO text -> its instant, anything else -> now.
 
     A number outside the years 1 to 9999 is no time: null, for the writer to refuse.
     """
-    kind, text = json_type(v, path), text_at(v, path)
-    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    return F.when(number, instant(F.try_variant_get(v, path, "double"))).otherwise(
-        F.coalesce(F.when(kind == "STRING", parse_timestamp_text(text)), now)
-    )
+    return time_of(json_type(v, path), text_at(v, path), F.try_variant_get(v, path, "double"), now)
 
 
 # --- parsing whole messages ------------------------------------------------------------
-def _read_once(log: DataFrame, keep: list[Column], fields) -> DataFrame:
+class Parts:
+    """Columns that hold the parts of one message while it is read; names that no log has."""
+
+    def __init__(self, **parts: str):
+        """``parts`` are the keys to read and what is asked of each: k(ind), t(ext), d(ouble), v(ariant)."""
+        self.parts, self.whole = parts, F.col("__value")
+
+    def columns(self) -> list[Column]:
+        ask = {
+            "k": lambda path: json_type(self.whole, path),
+            "t": lambda path: text_at(self.whole, path),
+            "d": lambda path: F.try_variant_get(self.whole, path, "double"),
+            "v": lambda path: F.try_variant_get(self.whole, path, "variant"),
+        }
+        return [ask[a](f"$.{key}").alias(f"__{a}_{key}") for key, asked in self.parts.items() for a in asked]
+
+    def kind(self, key: str) -> Column:
+        return F.col(f"__k_{key}")
+
+    def text(self, key: str) -> Column:
+        return F.col(f"__t_{key}")
+
+    def double(self, key: str) -> Column:
+        return F.col(f"__d_{key}")
+
+    def variant(self, key: str) -> Column:
+        return F.col(f"__v_{key}")
+
+    def truthy(self, key: str) -> Column:
+        return F.col(f"__truthy_{key}")
+
+    def truths(self) -> list[Column]:
+        """The texts that Python would not call false, of the keys read with kind and text."""
+        both = [key for key, asked in self.parts.items() if "k" in asked and "t" in asked]
+        return [unless_false(self.kind(key), self.text(key)).alias(f"__truthy_{key}") for key in both]
+
+
+def _read_once(log: DataFrame, keep: list[Column], parts: Parts, fields: dict[str, Column]) -> DataFrame:
     """Kept columns and the fields read from each row's JSON value.
 
-    The fields come out of a generator of one row, which filters on them cannot be pushed
-    below; as a plain projection they would be parsed again for every such filter.
+    The value is parsed in one generator of one row and the fields come out of another: filters
+    on fields cannot be pushed below it; as a plain projection they would be parsed again for
+    every such filter. Each part is looked up once, in projections between them, small enough to be
+    compiled.
     """
-    message = bind(
-        parsed(F.col("value")),
-        lambda v: F.struct(*[column.alias(name) for name, column in fields(v).items()]),
-    )
-    return log.select(*keep, F.inline(F.array(message)))
+    first_char = F.ltrim(F.col("value"), F.lit(" \t\r\n"))
+    parsed_once = F.inline(F.array(F.struct(parsed(F.col("value")).alias("__value"))))
+    opened = log.select("*", parsed_once)
+    is_object = F.coalesce(parts.whole.isNotNull() & first_char.startswith("{"), F.lit(False))
+    asked = opened.select("*", is_object.alias("__is_object"), *parts.columns()).select("*", *parts.truths())
+    return asked.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in fields.items()]))))
 
 
 def parse_text_messages(log: DataFrame) -> DataFrame:
@@ -146,24 +197,20 @@ def parse_text_messages(log: DataFrame) -> DataFrame:
     parse; such rows carry nulls and are rejected downstream.
     """
     fallback = F.coalesce(F.nullif(F.col("key"), F.lit("")), F.lit(UNKNOWN))
-
-    def fields(v: Column) -> dict[str, Column]:
-        is_object = F.schema_of_variant(v).startswith("OBJECT")
-        has_id = json_type(v, "$.id").isNotNull()
-        id = F.when(is_object & has_id, text_at(v, "$.id")).otherwise(fallback)
-        model = F.coalesce(truthy_text(v, "$.model"), truthy_text(v, "$.model_name"))
-        return {
-            "is_json": v.isNotNull(),
-            "id": F.when(v.isNotNull(), id),
-            "text": F.when(is_object, text_at(v, "$.text")).otherwise(text_at(v, "$")),
-            "input_timestamp": F.when(is_object, F.try_variant_get(v, "$.timestamp", "double")),
-            "input_source": F.when(is_object, text_at(v, "$.source")),
-            "model": F.when(is_object, model),
-            "has_id": F.coalesce(is_object & has_id, F.lit(False)),
-            "has_text": F.coalesce(is_object & json_type(v, "$.text").isNotNull(), F.lit(False)),
-        }
-
-    return _read_once(log, [F.col(c) for c in log.columns], fields)
+    part = Parts(id="vt", text="vt", timestamp="d", source="t", model="kt", model_name="kt")
+    is_json, is_object = part.whole.isNotNull(), F.col("__is_object")
+    has_id = is_object & part.variant("id").isNotNull()
+    fields = {
+        "is_json": is_json,
+        "id": F.when(is_json, F.when(has_id, part.text("id")).otherwise(fallback)),
+        "text": F.when(is_object, part.text("text")).otherwise(text_at(part.whole, "$")),
+        "input_timestamp": part.double("timestamp"),
+        "input_source": part.text("source"),
+        "model": F.coalesce(part.truthy("model"), part.truthy("model_name")),
+        "has_id": has_id,
+        "has_text": is_object & part.variant("text").isNotNull(),
+    }
+    return _read_once(log, [F.col(c) for c in log.columns], part, fields)
 
 
 def normalize_embedding_messages(log: DataFrame, now: Column) -> DataFrame:
@@ -178,33 +225,30 @@ def normalize_embedding_messages(log: DataFrame, now: Column) -> DataFrame:
         if c != "value"
     ]
     key = F.nullif(F.col("key"), F.lit(""))
-
-    def first_of(v: Column, *names: str, last: Column) -> Column:
-        return F.coalesce(*[truthy_text(v, f"$.{name}") for name in names], last)
-
-    def fields(v: Column) -> dict[str, Column]:
-        given = truthy_text(v, "$.timestamp").isNotNull()
-        return {
-            "is_json": v.isNotNull(),
-            "id": first_of(v, "id", last=F.coalesce(key, F.lit(UNKNOWN))),
-            "text": first_of(v, "text", "original_text", last=F.lit("")),
-            "embedding": F.try_variant_get(v, "$.embedding", "array<float>"),
-            "timestamp": F.when(given, normalize_timestamp(v, "$.timestamp", now)).otherwise(
-                normalize_timestamp(v, "$.processing_timestamp", now)
-            ),
-            "source": first_of(v, "source", "model_name", "input_source", last=F.lit(UNKNOWN)),
-            "metadata": F.coalesce(
-                F.when(
-                    json_type(v, "$.metadata") == "STRING",
-                    F.to_json(F.try_variant_get(v, "$.metadata", "variant")),
-                ),
-                text_at(v, "$.metadata"),
-                F.lit("{}"),
-            ),
-            "table_name": first_of(v, "table_name", last=F.lit(DEFAULT_TABLE)),
-        }
-
-    return _read_once(log, keep, fields)
+    names = ("id", "text", "original_text", "source", "model_name", "input_source", "table_name")
+    part = Parts(timestamp="ktd", processing_timestamp="ktd", metadata="ktv", **dict.fromkeys(names, "kt"))
+
+    def first_of(*keys: str, last: Column) -> Column:
+        return F.coalesce(*[part.truthy(key) for key in keys], last)
+
+    def time(key: str) -> Column:
+        return time_of(part.kind(key), part.text(key), part.double(key), now)
+
+    fields = {
+        "is_json": part.whole.isNotNull(),
+        "id": first_of("id", last=F.coalesce(key, F.lit(UNKNOWN))),
+        "text": first_of("text", "original_text", last=F.lit("")),
+        "embedding": F.try_variant_get(part.whole, "$.embedding", "array<float>"),
+        "timestamp": F.when(part.truthy("timestamp").isNotNull(), time("timestamp")).otherwise(time("processing_timestamp")),
+        "source": first_of("source", "model_name", "input_source", last=F.lit(UNKNOWN)),
+        "metadata": F.coalesce(
+            F.when(part.kind("metadata") == "STRING", F.to_json(part.variant("metadata"))),
+            part.text("metadata"),
+            F.lit("{}"),
+        ),
+        "table_name": first_of("table_name", last=F.lit(DEFAULT_TABLE)),
+    }
+    return _read_once(log, keep, part, fields)
 
 
 # --- rejecting ------------------------------------------------------------------------
