@@ -9,7 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vectrail.llm import anchors, automaton, capfilters, contamination, jaccard, language, lines, links, packing, quality, substrings, tokens, urls
+from vectrail.fs import children
+from vectrail.llm import anchors, automaton, capfilters, contamination, jaccard, language, lines, links, packing, quality, scratch, substrings, tokens, urls
+from vectrail.session import scratch_root
 
 DOCS = "doc_id long, text string, node string, id string"  # the last two clash with names used inside
 VOCABULARY = [a + b for a in ("ka", "lo", "mi", "re", "tu", "ün") for b in ("ba", "do", "fe", "gi", "s", "zon")]
@@ -119,6 +121,40 @@ def test_substrings_match_brute_force(spark, rows, docs, monkeypatch, large_grou
     assert sum(len(t) for t in raw.values()) > sum(len(k) for _, k, _ in got.values())
 
 
+def test_substrings_move_only_texts_with_lists(spark, docs, monkeypatch):
+    texts = spark.range(4000).select(F.xxhash64("id").alias("doc"), F.col("id").cast("string").alias("text"))
+    lists = scratch.stored(texts.where("text % 100 = 0").select("doc", F.array("text").alias("wanted")), "lists")
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
+    seen = substrings.may_have(texts, lists).groupBy((F.col("text") % 100 == 0).alias("listed"), "known").count().collect()
+    counts = {(r.listed, r.known): r["count"] for r in seen}
+    assert counts[True, True] == 40 and (True, False) not in counts and counts.get((False, True), 0) < 200
+    assert {r.text for r in substrings.with_lists(texts, lists).collect()} == {str(i) for i in range(0, 4000, 100)}
+    every = substrings.with_lists(texts, lists, every=True).collect()
+    assert len(every) == 4000 and all((r.wanted == [r.text]) == (int(r.text) % 100 == 0) and (r.wanted is None) == (int(r.text) % 100 != 0) for r in every)
+
+    def folders():
+        return set(children(spark, f"{scratch_root(spark)}/vectrail"))
+
+    there = folders()
+    long_lists = substrings.remove_repeats(docs.union(docs)).collect()
+    labels = {name.rsplit("-", 1)[0] for name in folders() - there}
+    assert "repeats" in labels and not {"anchors", "keys"} & labels
+    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 1 << 30)
+    assert Counter(map(str, long_lists)) == Counter(map(str, substrings.remove_repeats(docs.union(docs)).collect()))
+
+
+def test_ranges_are_merged_before_they_are_joined():
+    ranges = [[(9, 12), (0, 5), (3, 4), (5, 7)], [(0, 2)], [(20, 30), (8, 20), (40, 41), (1, 2)]]
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64())]))
+    column = pa.array([[{"begin": a, "stop": b} for a, b in r] for r in ranges], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, 9]), column], names=["doc", "ranges"])
+    (got,) = substrings._merged([batch.slice(0, 0), batch])
+    merged = [[(r["begin"], r["stop"]) for r in x] for x in got.column("ranges").to_pylist()]
+    assert merged == [[(0, 7), (9, 12)], [(0, 2)], [(1, 2), (8, 30), (40, 41)]]
+    (last,) = substrings._merged([batch.slice(2)])
+    assert last.column("ranges").to_pylist() == got.column("ranges").to_pylist()[2:]
+
+
 def test_anchors_do_not_depend_on_units(monkeypatch):
     import pyarrow as pa
 

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from . import anchors, blocks
-from .scratch import stored, stored_bytes
+from .scratch import discard, stored, stored_bytes
 
 LENGTH = 200
 LARGE_GROUP = 8192
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 24 << 20
+FILTER_BITS = 27
 TASK_DOCUMENTS = 50_000
 _FOUND = "doc long, key long, span long, start long, windows int, place int"
 
@@ -156,24 +157,39 @@ def _single_windows(length: int):
     return run
 
 
+def _merged(batches):
+    """The ranges of each text in order, those that meet or overlap as one."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ranges = batch.column("ranges")
+        begin, stop = (part.to_numpy() for part in ranges.flatten().flatten())
+        row = np.repeat(np.arange(batch.num_rows), ranges.value_lengths().to_numpy())
+        apart = row * (int(stop.max()) + 1)  # texts one behind the other
+        order = np.argsort(begin + apart, kind="stable")
+        row, apart = row[order], apart[order]
+        reach = np.maximum.accumulate(stop[order] + apart)
+        new = np.ones(len(reach), bool)
+        new[1:] = (begin[order] + apart)[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(reach)) - 1
+        runs = pa.StructArray.from_arrays([pa.array(begin[order][first]), pa.array((reach - apart)[last])], names=["begin", "stop"])
+        bounds = np.searchsorted(row[first], np.arange(batch.num_rows + 1))
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), runs)], names=["doc", "ranges"])
+
+
 def _removed(schema: pa.Schema):
     def run(batches):
         for batch in batches:
             kept, spans, sizes = [], [], []
             for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist()):
-                raw, merged = text.as_py().encode(), []
-                for r in sorted((r["begin"], r["stop"]) for r in ranges or ()):
-                    if merged and r[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], r[1])
-                    else:
-                        merged.append(list(r))
-                at, left = 0, []
-                for begin, stop in merged:
-                    left.append(raw[at:begin])
-                    at = stop
+                raw, at, left = text.as_py().encode(), 0, []
+                for r in ranges or ():
+                    left.append(raw[at : r["begin"]])
+                    at = r["stop"]
                 left.append(raw[at:])
                 kept.append(b"".join(left)), sizes.append(len(raw))
-                spans.append([{"begin": a, "stop": b} for a, b in merged])
+                spans.append(ranges or [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, schema.field("spans").type)], schema=schema
             )
@@ -181,6 +197,34 @@ def _removed(schema: pa.Schema):
     return run
 
 
+def may_have(texts: DataFrame, lists: DataFrame) -> DataFrame:
+    """``texts`` with ``known``: true for every text that has a list, false for most others.
+
+    A bitmap over the leading bits of ``doc`` is broadcast: a byte a list or more, at most ``1 << FILTER_BITS`` bits.
+    """
+    bits = min(FILTER_BITS, max(16, (8 * lists.count()).bit_length()))
+    slot = F.shiftrightunsigned("doc", 64 - bits)
+    maps = lists.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("map"))
+    bit = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("map", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = texts.join(F.broadcast(maps), F.bitmap_bucket_number(slot) == F.col("block"), "left")
+    return found.select(*texts.columns, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False)).alias("known"))
+
+
+def with_lists(texts: DataFrame, lists: DataFrame, every: bool = False) -> DataFrame:
+    """``texts`` beside their lists, by ``doc``; if ``every`` those without one too, with null.
+
+    Lists that are stored in few bytes are broadcast. Else only texts that may have one are shuffled.
+    """
+    if stored_bytes(lists) <= BROADCAST_BYTES:
+        return texts.join(F.broadcast(lists), "doc", "left" if every else "inner")
+    marked = may_have(texts, lists)
+    joined = marked.where("known").drop("known").join(lists, "doc", "left" if every else "inner")
+    if not every:
+        return joined
+    return joined.unionByName(marked.where("not known").drop("known"), allowMissingColumns=True)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = anchors.GRAM) -> DataFrame:
     """One row per row of ``docs``: ``id_col, n_bytes, kept`` (binary) and ``spans`` (begin, stop) removed.
 
@@ -192,6 +236,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     About one row per fifty bytes is shuffled to find anchors met twice; only those go on. Equal
     documents of an anchor enter its collection once. A collection of more than ``LARGE_GROUP``
     different documents is not brought together: its windows are counted one by one by their hash.
+    Texts move only where lists too long to be broadcast name them, and the rows of all anchors are
+    deleted once the repeated ones are stored.
     """
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     named = source.withColumn("doc", F.xxhash64("id", "text"))
@@ -199,6 +245,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high")).where("n > 1")
     keys = stored(keys.select("key", (F.col("low") != F.col("high")).alias("mixed")), "keys")
     again = stored(found.join(keys, "key"), "repeats", buckets="mixed")
+    discard(found, keys)
     end = F.col("start") + F.col("windows") - 1 + length
     mixed = again.where("mixed")
     spans = mixed.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "windows", "place")).alias("at"))
@@ -208,8 +255,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     large = stored(groups.where(F.col("size") > LARGE_GROUP).select("key"), "large")
     wanted = spans.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "windows", "place", "n")).alias("wanted"))
     wanted = stored(wanted, "wanted")
-    few = F.broadcast(wanted) if stored_bytes(wanted) <= BROADCAST_BYTES else wanted
-    pieces = named.select("doc", "text").join(few, "doc").mapInArrow(_cut_out(length), "doc long, key long, start long, windows int, place int, n long, bytes binary")
+    pieces = with_lists(named.select("doc", "text"), wanted).mapInArrow(_cut_out(length), "doc long, key long, start long, windows int, place int, n long, bytes binary")
     pieces = stored(pieces, "pieces")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = pieces.join(large, "key", "left_anti").repartition(tasks, "key").sortWithinPartitions("key")
@@ -223,9 +269,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = again.where("not mixed").select("doc", F.col("start").alias("begin"), end.alias("stop"))
     equal = mixed.join(spans.where("n > 1").select("key", "span"), ["key", "span"], "left_semi")
     ranges = ranges.unionByName(whole).unionByName(equal.select("doc", F.col("start").alias("begin"), end.alias("stop")))
-    marks = stored(ranges.distinct().groupBy("doc").agg(F.collect_list(F.struct("begin", "stop")).alias("ranges")), "marks")
-    few = F.broadcast(marks) if stored_bytes(marks) <= BROADCAST_BYTES else marks
-    joined = named.join(few, "doc", "left").select("id", "text", "ranges")
+    ranges = ranges.groupBy("doc").agg(F.collect_set(F.struct("begin", "stop")).alias("ranges"))
+    marks = stored(ranges.mapInArrow(_merged, "doc long, ranges array<struct<begin:long,stop:long>>"), "marks")
+    joined = with_lists(named, marks, every=True).select("id", "text", "ranges")
     id_type = source.schema["id"].dataType
     schema = pa.schema(
         [("id", to_arrow_type(id_type)), ("n_bytes", pa.int64()), ("kept", pa.binary()),
